@@ -16,21 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the reliable checkpoint folder all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  One is made up only where it is unset, as in tests on a
-    local master.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one is made up only where it is unset, as in tests on a local master."""
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="weft-checkpoint-")
-        sc.setCheckpointDir(where)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` to the reliable checkpoint folder all executors share."""
+    spark = df.sparkSession
+    where = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint(eager=True)
 
 
