@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import langid, mixing, packing, pii, quality, sharding, simhash
+from weft.llm import htmltext, langid, mixing, packing, pii, quality, sharding, simhash
 from weft.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.op6(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7(table(spark, sf_dir, "documents"))
 
