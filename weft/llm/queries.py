@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import ann, htmltext, langid, mixing, packing, pii, quality, sharding, simhash
+from weft.llm import ann, htmltext, langid, mixing, packing, pii, quality, sharding, simhash, suffix
 from weft.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
