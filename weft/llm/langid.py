@@ -36,7 +36,7 @@ LONGEST = 40
 PASSES = 2
 SMOOTH = 0.05
 SLICE = 4 << 20
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -55,34 +55,47 @@ class Lattices:
     def __init__(self, pieces: list[str]) -> None:
         self.id = {p: i for i, p in enumerate(pieces)}
         self.byte = [self.id[f"<0x{b:02X}>"] for b in range(256)]
-        self.widest = max(len(p) for p in pieces if not p.startswith("<0x"))
-        self.size = len(pieces)
+        import ahocorasick
+
+        self.finder = ahocorasick.Automaton()  # finds all pieces in a string; a hit is number and length
+        for p, i in self.id.items():
+            self.finder.add_word(p, i << 8 | len(p))
+        self.finder.make_automaton()
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows (word, from, to, piece) ordered by (to, word), and the last node of each word."""
-        ids, widest, byte = self.id, self.widest, self.byte
-        w_, a_, b_, p_, last = [], [], [], [], []
-        for k, word in enumerate(words):
-            s = "▁" + word
-            n = len(s)
-            node = list(range(n + 1))
-            if any(c not in ids for c in s):
-                shift = 0
-                for i, c in enumerate(s):
-                    node[i] += shift
-                    if c not in ids:
-                        raw = c.encode("utf-8", "surrogatepass")
-                        for j, x in enumerate(raw):
-                            w_.append(k), a_.append(node[i] + j), b_.append(node[i] + j + 1), p_.append(byte[x])
-                        shift += len(raw) - 1
-                node[n] += shift
-            for i in range(n):
-                for j in range(i + 1, min(n, i + widest) + 1):
-                    if (p := ids.get(s[i:j])) is not None:
-                        w_.append(k), a_.append(node[i]), b_.append(node[j]), p_.append(p)
-            last.append(node[n])
-        e = np.array([w_, a_, b_, p_], np.int64).reshape(4, -1)
-        return e[:, np.lexsort((e[0], e[2]))], np.array(last, np.int64)
+        strings = ["▁" + w for w in words]
+        length = np.array([len(s) for s in strings], np.int64)
+        joined = "\n".join(strings)
+        strange = set(joined) - self.id.keys() - {"\n"}
+        hits = np.array(list(self.finder.iter(joined)), np.int64).reshape(-1, 2)
+        first = np.cumsum(length + 1) - length - 1
+        word = np.searchsorted(first, hits[:, 0], "right") - 1
+        to = hits[:, 0] + 1 - first[word]
+        rows = np.stack((word, to - (hits[:, 1] & 255), to, hits[:, 1] >> 8))
+        rows = rows[:, rows[1] >= 0]  # none crosses the line end, which is no piece
+        if strange:
+            rows, length = self._with_bytes(strings, strange, rows, length)
+        return rows[:, np.lexsort((rows[0], rows[2]))], length
+
+    def _with_bytes(self, strings: list[str], strange: set[str], rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece get a node for each byte, and edges from byte to byte."""
+        more, length = [rows], length.copy()
+        keep = np.ones(rows.shape[1], bool)
+        for k, s in enumerate(strings):
+            if strange.isdisjoint(s):
+                continue
+            raw = [c.encode("utf-8", "surrogatepass") if c in strange else b"." for c in s]
+            node = np.cumsum([0] + [len(r) for r in raw])
+            own = rows[0] == k
+            keep &= ~own
+            x = rows[:, own].copy()
+            x[1], x[2] = node[x[1]], node[x[2]]
+            steps = [(k, node[i] + j, node[i] + j + 1, self.byte[b]) for i, c in enumerate(s) if c in strange for j, b in enumerate(raw[i])]
+            more += [x, np.array(steps, np.int64).T]
+            length[k] = node[-1]
+        more[0] = rows[:, keep]
+        return np.concatenate(more, axis=1), length
 
     def forward(self, e: np.ndarray, last: np.ndarray, p: np.ndarray) -> np.ndarray:
         """[word, node, column]: the probability of reaching each node; ``p`` is [piece, column] or [edge, column]."""
@@ -145,7 +158,7 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     cuts = [0, *(np.flatnonzero(np.diff(sizes // SLICE)) + 1).tolist(), len(texts)]
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts.slice(a, z - a)))
-        coded = split.flatten().dictionary_encode()
+        coded = pc.ascii_trim(split.flatten(), characters=".,!?;:()[]\"'").dictionary_encode()
         offsets = split.offsets.to_numpy(zero_copy_only=False)
         yield a, z, coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], coded.dictionary.to_pylist()
 
