@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII blanks.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -54,6 +57,41 @@ def small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores before it one that no column has."""
+    low = {c.lower() for c in columns}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns, equal for equal rows; maps, which have no hash, by their JSON text."""
+    quoted = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    return F.xxhash64(*[F.to_json(F.struct(quoted(f))) if "map<" in f.dataType.simpleString() else quoted(f) for f in df.schema])
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """(row, id, rk): the whole row, its doc_id and its hash, so that columns of any name come through a join."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_hash(docs).alias("rk"))
+
+
+def computed(df: DataFrame, used: list[str], new: list[T.StructField], kinds: list[pa.DataType], fn: Callable, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without ``drop`` and with the columns ``new``, which ``fn`` makes from the lists of the columns ``used``.
+
+    All other columns pass as they are, without a detour over pandas types.
+    """
+    keep = [f for f in df.schema if f.name not in drop and f.name not in {n.name for n in new}]
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = fn(*[b.column(c).to_pylist() for c in used])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], [*names, *(n.name for n in new)])
+
+    return df.mapInArrow(run, T.StructType([*keep, *new]))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, even where ``body`` uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

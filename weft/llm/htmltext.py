@@ -15,9 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from weft.llm.common import computed, fresh, pin, small
 from weft.llm.dom import blocks, nodes, parse, scores
 
 #: Share of the page's own best text that the host's path must hold to be believed.
@@ -75,17 +78,14 @@ def main_text(html: str | None, path: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str = "text") -> DataFrame:
     """``pages`` with ``into`` in place of the html."""
-    paths = winners(votes(pages, html, url)).withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
-    rows = pages.withColumn("_h", _host(url)).join(paths, F.col("_h") == F.col("_host"), "left").drop("_h", "_host")
-    keep = [f for f in pages.schema if f.name != html]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{into}` string"])
+    host, voted, path = (fresh(n, pages.columns) for n in ("_host", "_voted", "_path"))
+    paths = small(pin(winners(votes(pages, html, url)).toDF(voted, path)))  # few hosts: pages stay where they are
+    rows = pages.withColumn(host, _host(url)).join(paths, F.col(host) == F.col(voted), "left").drop(host, voted)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [main_text(h, p) for h, p in zip(b[html], b["_path"], strict=True)]
-            yield b[[f.name for f in keep]].assign(**{into: texts})
+    def run(htmls: list, found: list) -> list[list[str]]:
+        return [[main_text(h, p) for h, p in zip(htmls, found, strict=True)]]
 
-    return rows.mapInPandas(run, schema)
+    return computed(rows, [html, path], [T.StructField(into, T.StringType())], [pa.string()], run, (html, path))
 
 
 def op6(pages: DataFrame) -> DataFrame:

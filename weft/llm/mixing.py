@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import pin, small, uniform, word_count
+from weft.llm.common import boxed, pin, row_hash, small, uniform, word_count
 
 FAN_IN = 64
 
@@ -147,16 +147,14 @@ def plan(items: DataFrame, epochs: float = 1.5, weights: Sequence[float] = (5, 2
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; columns as before."""
-    cols = docs.columns
-    keyed = docs.withColumn("_rk", F.xxhash64(*cols))
-    items = keyed.select("doc_id", F.col("_rk").alias("rk"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    items = docs.select("doc_id", row_hash(docs).alias("rk"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     items = items.groupBy("doc_id", "rk", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-    chosen = plan(items, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_r"), F.col("copies").cast("int").alias("_copies"))
-    out = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rk") == F.col("_r")), "inner")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    chosen = plan(items, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_r"), F.col("copies").cast("int").alias("copies"))
+    out = boxed(docs).join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "inner")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target of its source, and the words taken of it."""
-    rows = docs.select("doc_id", F.xxhash64(*docs.columns).alias("rk"), "source", word_count(F.col("text")).alias("size"), F.lit(1).cast("long").alias("n"))
+    rows = docs.select("doc_id", row_hash(docs).alias("rk"), "source", word_count(F.col("text")).alias("size"), F.lit(1).cast("long").alias("n"))
     return plan(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

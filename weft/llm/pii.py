@@ -18,10 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.llm.common import pin
+from weft.llm.common import computed, fresh, pin
 from weft.llm.surrogates import find, render, surrogate
 
 KEY = b"weft surrogate key"
@@ -69,45 +71,41 @@ def redrawn(real: DataFrame, key: bytes) -> DataFrame:
 def replace(docs: DataFrame, text: str = "text", key: bytes = KEY, details: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``details`` also n_replaced and where and what they are."""
     again = pin(redrawn(pin(entities(docs, text)), key))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema += ", n_replaced int, entities array<struct<kind:string,start:int,length:int>>" * details
     few = again.limit(FEW + 1).count() <= FEW
     common = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in again.collect()} if few else {})
-    rows = docs if few else _with_own(docs, text, again)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        attempts = common.value
-        for b in batches:
-            own = b.pop("_again") if "_again" in b else [None] * len(b)
-            texts, counts, places = [], [], []
-            for t, more in zip(b[text], own, strict=True):
-                found = find(t)
-                known = attempts if more is None else {(x["kind"], x["value"]): x["attempt"] for x in more}
-                out, at, where = [], 0, []
-                for start, end, kind, value in found:
-                    new = render(t[start:end], kind, surrogate(key, kind, value, known.get((kind, value), 0)))
-                    out.append(t[at:start])
-                    where.append({"kind": kind, "start": sum(map(len, out)), "length": len(new)})
-                    out.append(new)
-                    at = end
-                texts.append("".join([*out, t[at:]]) if found else t)
-                counts.append(len(found))
-                places.append(where)
-            b[text] = pd.Series(texts, index=b.index, dtype=object)
-            yield b.assign(n_replaced=counts, entities=places) if details else b
-
-    return rows.mapInPandas(run, schema)
-
-
-def _with_own(docs: DataFrame, text: str, again: DataFrame) -> DataFrame:
-    """``docs`` with ``_again``: the redrawn entities that occur in the row.  Rows meet by a 128-bit hash of the text."""
-    h = [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")]
-
-    texts = docs.select(F.col(text).alias("t"), *h)
+    own = fresh("_again", docs.columns)
+    rows = docs if few else _with_own(docs, text, again, own)
+
+    def run(given: list, more: list | None = None) -> list[list]:
+        texts, counts, places = [], [], []
+        for t, x in zip(given, more or [None] * len(given), strict=True):
+            known = common.value if few else {(y["kind"], y["value"]): y["attempt"] for y in x or ()}
+            found, out, at, where, length = find(t), [], 0, [], 0
+            for start, end, kind, value in found:
+                new = render(t[start:end], kind, surrogate(key, kind, value, known.get((kind, value), 0)))
+                length += start - at
+                where.append({"kind": kind, "start": length, "length": len(new)})
+                out += [t[at:start], new]
+                length, at = length + len(new), end
+            texts.append("".join([*out, t[at:]]) if found else t)
+            counts.append(len(found))
+            places.append(where)
+        return [texts, counts, places] if details else [texts]
+
+    place = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
+    new = [T.StructField(text, T.StringType())] + [T.StructField("n_replaced", T.IntegerType()), T.StructField("entities", T.ArrayType(place))] * details
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))][: len(new)]
+    return computed(rows, [text] if few else [text, own], new, kinds, run, () if few else (own,)).select(*docs.columns, *[n.name for n in new[1:]])
+
+
+def _with_own(docs: DataFrame, text: str, again: DataFrame, own: str) -> DataFrame:
+    """``docs`` with the column ``own``: the redrawn entities that occur in the row.  Rows meet by a 128-bit hash of the text."""
+    a, b = fresh("_h1", docs.columns), fresh("_h2", docs.columns)
+    h = [F.xxhash64(text).alias(a), F.xxhash64(F.lit(1), text).alias(b)]
+    texts = docs.select(F.col(text).alias("t"), *h).toDF("t", "_h1", "_h2")
     occur = texts.mapInPandas(_occurrences, "_h1 long, _h2 long, kind string, value string").distinct()
-    own = occur.join(again, ["kind", "value"]).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again"))
-    keyed = docs.select("*", *h)
-    return keyed.join(own, ["_h1", "_h2"], "left").drop("_h1", "_h2")
+    found = occur.join(again, ["kind", "value"]).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(own))
+    return docs.select("*", *h).join(found.toDF(a, b, own), [a, b], "left").drop(a, b)
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

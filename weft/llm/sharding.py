@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import pin
+from weft.llm.common import pin, row_hash
 
 #: Bits of the key that each round adds; the two halves of the key have HALF bits each.
 STEP, HALF = 10, 60
@@ -84,7 +84,7 @@ def assign(docs: DataFrame, keep: list[str], shards: int = 8, text: str = "text"
     """The columns ``keep`` of every row with its size in bytes, shard and slot.  Rows lie by (shard, slot)."""
     blank = F.coalesce(F.col(text), F.lit(""))
     hashed = lambda *cols: F.shiftrightunsigned(F.xxhash64(*cols), 64 - HALF)
-    keyed = docs.select(*keep, (F.octet_length(blank) + 1).cast("long").alias("size"), hashed(blank).alias("a"), hashed(*docs.columns).alias("b"))
+    keyed = docs.select(*keep, (F.octet_length(blank) + 1).cast("long").alias("size"), hashed(blank).alias("a"), F.shiftrightunsigned(row_hash(docs), 64 - HALF).alias("b"))
     if text in keep:
         rows = pin(keyed.select("a", "b", "size"))
     else:

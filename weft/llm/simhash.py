@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.llm.common import pin, small
+from weft.llm.common import boxed, computed, pin, row_hash, small
 from weft.llm.components import components
 
 RADIUS = 4
@@ -56,16 +58,12 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 4) -> DataFrame:
     """The columns ``keep`` of every row with its fingerprint ``fp``."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp long"
+    def run(texts: list) -> list[list[int]]:
+        known: dict[str | None, int] = {}  # copies within a batch
+        return [[known[t] if t in known else known.setdefault(t, fingerprint(t, shingle)) for t in texts]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known: dict[str | None, int] = {}  # copies within a batch
-            fps = [known[t] if t in known else known.setdefault(t, fingerprint(t, shingle)) for t in b.pop("_text")]
-            yield b.assign(fp=np.array(fps, np.int64))
-
-    return rows.mapInPandas(run, schema)
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    return computed(rows, ["_text"], [T.StructField("fp", T.LongType())], [pa.int64()], run, ("_text",))
 
 
 def _values(fp: Column) -> Column:
@@ -192,16 +190,15 @@ def groups(fps: DataFrame) -> DataFrame:
 
 
 def _fps(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    keyed = docs.select("doc_id", text, F.xxhash64(*docs.columns).alias("rk"))
+    keyed = docs.select("doc_id", text, row_hash(docs).alias("rk"))
     return pin(fingerprints(keyed, ["doc_id", "rk"], text, shingle))
 
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest doc_id; columns as before."""
     top = groups(_fps(docs, text, shingle)).select(F.col("first.doc_id").alias("_id"), F.col("first.rk").alias("_r")).distinct()
-    keyed = docs.withColumn("_rk", F.xxhash64(*docs.columns))
-    kept = keyed.join(top, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rk") == F.col("_r")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_rk"]).select(*docs.columns)
+    kept = boxed(docs).join(top, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "left_semi")
+    return kept.dropDuplicates(["id", "rk"]).select("row.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:

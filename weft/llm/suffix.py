@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.llm.common import pin_table
+from weft.llm.common import computed, fresh, pin_table
 from weft.llm.suffixsort import Hashes, common, mixed, sort_buckets
 from weft.llm.vocab import worker_store
 
@@ -338,23 +339,20 @@ def op10(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``."""
-    found = repeated(_texts(docs, text)).groupBy("rid").agg(F.collect_list(F.struct("s", "n")).alias("_starts"))
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", text)).join(pin_table(found), "rid", "left").drop("rid")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def run(batches):
-        for b in batches:
-            starts = b.pop("_starts")
-            out = []
-            for t, own in zip(b[text], starts, strict=True):
-                if t is not None and own is not None:
-                    data, at, parts = t.encode("utf-8"), 0, []
-                    for a, z in runs([(x["s"], x["n"]) for x in own]):
-                        parts.append(data[at:a])
-                        at = z
-                    t = b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
-                out.append(t)
-            b[text] = out
-            yield b
-
-    return rows.mapInPandas(run, schema)
+    rid, starts = fresh("_rid", docs.columns), fresh("_starts", docs.columns)
+    found = repeated(_texts(docs, text)).groupBy("rid").agg(F.collect_list(F.struct("s", "n")))
+    rows = docs.withColumn(rid, F.xxhash64("doc_id", text)).join(pin_table(found.toDF(rid, starts)), rid, "left").drop(rid)
+
+    def run(texts: list, own: list) -> list[list]:
+        out = []
+        for t, x in zip(texts, own, strict=True):
+            if t is not None and x is not None:
+                data, at, parts = t.encode("utf-8"), 0, []
+                for a, z in runs([(y["s"], y["n"]) for y in x]):
+                    parts.append(data[at:a])
+                    at = z
+                t = b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
+            out.append(t)
+        return [out]
+
+    return computed(rows, [text, starts], [T.StructField(text, T.StringType())], [pa.string()], run, (starts,)).select(*docs.columns)
