@@ -111,7 +111,8 @@ def certified(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float
     at = F.collect_list(F.struct("depth", "good", "bad"))  # a row for each cutoff at most
     found = depths.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), at.alias("at"))
     tests = found.select("stratum", "rule", "n", "at", F.posexplode(grid[F.col("rule")]).alias("place", "cutoff"))
-    beyond = lambda of: F.aggregate(F.filter("at", lambda e: e["depth"] > F.col("place")), F.lit(0).cast("long"), lambda a, e: a + e[of])
+    # a document reaches the strictest ``depth`` cutoffs
+    beyond = lambda of: F.aggregate(F.filter("at", lambda e: e["depth"] >= F.size(grid[F.col("rule")]) - F.col("place")), F.lit(0).cast("long"), lambda a, e: a + e[of])
     strata = found.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
     tests = tests.select("stratum", "rule", "place", "cutoff", "n", beyond("good").alias("k"), beyond("bad").alias("bad")).crossJoin(F.broadcast(strata))  # one row
     share = alpha / len(RULES)
