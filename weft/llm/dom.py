@@ -145,12 +145,16 @@ def nodes(root: Node) -> list[Node]:
     return out
 
 
-def scores(root: Node) -> list[tuple[Node, float]]:
-    """How much each container looks like the article: own text in paragraphs, less links, with a share of its children's.
+CONTAINERS = {"div": 1.0, "section": 1.0, "article": 2.0, "main": 1.5, "body": 1.0, "td": 1.0}
+#: Share of an inner container's value that its parent has: less than the whole, so that a mere wrapper stays behind, but
+#: enough for an article that is cut into several sections.
+INHERITED = 0.6
+
 
-    An element that holds little but one container scores below that container.
-    """
-    direct: dict[int, float] = {}
+def scores(root: Node) -> list[tuple[Node, float]]:
+    """How much each container looks like the article: the text that is its own or in its paragraphs, a share of that in
+    containers within, less the more of it is links."""
+    value: dict[int, float] = {}
     total: dict[int, float] = {}
     links: dict[int, float] = {}
     order = nodes(root)
@@ -159,12 +163,10 @@ def scores(root: Node) -> list[tuple[Node, float]]:
         kids = [c for c in x.children if isinstance(c, Node) and not c.chrome]
         total[id(x)] = own + sum(total[id(k)] for k in kids)
         links[id(x)] = total[id(x)] if x.tag == "a" else sum(links[id(k)] for k in kids)
-        inner = sum(total[id(k)] for k in kids if k.tag not in ("div", "section", "article", "main", "body", "td", "table", "tr", "tbody"))
-        direct[id(x)] = own + inner
+        value[id(x)] = own + sum(value[id(k)] * (INHERITED if k.tag in CONTAINERS else 1) for k in kids)
     found = []
     for x in order:
-        if x.tag in ("div", "section", "article", "main", "body", "td") and not _has_chrome(x) and total[id(x)]:
+        if x.tag in CONTAINERS and not _has_chrome(x) and total[id(x)]:
             density = 1 - links[id(x)] / total[id(x)]
-            score = direct[id(x)] * density**2 * {"article": 2.0, "main": 1.5}.get(x.tag, 1.0)
-            found.append((x, score))
+            found.append((x, value[id(x)] * density**2 * CONTAINERS[x.tag]))
     return found
