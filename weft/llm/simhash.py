@@ -20,7 +20,7 @@ table gives an empty result; extra columns are kept by :func:`keep_one` and igno
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -178,11 +178,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return entries.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(run, "a long, b long")
 
 
-def groups(fps: DataFrame) -> DataFrame:
+def groups(fps: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """``fps`` (doc_id, rk, fp; pinned) with ``first``: doc_id and rk of the first row of its component."""
     ident = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
     distinct = pin(fps.groupBy("fp").agg(F.min(ident).alias("first")))
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    roots = components(linked(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tops = rooted.groupBy("root").agg(F.min("first").alias("top"))
     named = rooted.select("fp", "root").join(tops, "root").select("fp", F.col("top").alias("first"))
@@ -196,7 +196,12 @@ def _fps(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest doc_id; columns as before."""
-    top = groups(_fps(docs, text, shingle)).select(F.col("first.doc_id").alias("_id"), F.col("first.rk").alias("_r")).distinct()
+    return one_of_each(docs, groups(_fps(docs, text, shingle)))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`groups` names as first."""
+    top = grouped.select(F.col("first.doc_id").alias("_id"), F.col("first.rk").alias("_r")).distinct()
     kept = boxed(docs).join(top, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "left_semi")
     return kept.dropDuplicates(["id", "rk"]).select("row.*")
 
