@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 # Titles and common given names by gender and script, public knowledge.
 TITLES = {
@@ -29,7 +30,9 @@ SYLLABLES = {
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)")
-_PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])")
+#: The layouts of cards as printed, which a neighbouring number can't lengthen.
+_CARD_AS_PRINTED = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})(?!\w|[.-]\d)")
+_PHONE = re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
@@ -65,31 +68,61 @@ def _name_parts(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
         at += len(w) + 1
 
 
+def _accepted(pattern: re.Pattern, text: str, ok: Callable[[int, int], bool], cuts: str) -> Iterator[tuple[int, int]]:
+    """The spans of a pattern that ``ok`` accepts.  One that it refuses is tried again up to each earlier character of
+    ``cuts``, the longest first, and then from later starts."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, z = m.span()
+        ends = [z, *(e for e in range(z - 1, a, -1) if text[e] in cuts and pattern.fullmatch(text, a, e))]
+        end = next((e for e in ends if ok(a, e)), None)
+        if end:
+            yield a, end
+        at = end or a + 1
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of each entity, in order, without overlaps; earlier patterns win."""
     if not text:
         return []
-    found: list[tuple[int, int, str, str]] = []
+    out: list[tuple[int, int, str, str]] = []
+
+    def free(a: int, z: int) -> bool:
+        before = bisect.bisect_left(out, (z,))
+        return not before or out[before - 1][1] <= a
+
+    def take(found: Iterable[tuple[int, int, str, str]]) -> None:
+        for x in found:
+            if free(*x[:2]):
+                bisect.insort(out, x)
+
+    def digits(a: int, z: int) -> str:
+        return re.sub(r"\D", "", text[a:z])
+
+    def is_iban(a: int, z: int) -> bool:
+        return free(a, z) and _iban_rest(text[a:z].replace(" ", "")) == 1
+
+    def is_card(a: int, z: int) -> bool:
+        return free(a, z) and luhn(digits(a, z))
+
+    def is_phone(a: int, z: int) -> bool:
+        return free(a, z) and len(digits(a, z)) <= 15  # no number is longer
+
     if _HINT.search(text):
         if "@" in text:
-            found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+            take((*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text))
         if "=" in text or ":" in text:
-            found += [(*m.span(2), "secret", m[2]) for m in _SECRET.finditer(text)]
-        found += [(*m.span(), "key", m[0]) for m in _KEY.finditer(text)]
-        found += [(*m.span(), "iban", m[0].replace(" ", "")) for m in _IBAN.finditer(text) if _iban_rest(m[0].replace(" ", "")) == 1]
-        found += [(*m.span(), "ip", m[0]) for m in _IP.finditer(text)]
-        found += [(*m.span(), "card", d) for m in _CARD.finditer(text) if luhn(d := re.sub(r"\D", "", m[0]))]
-        found += [(*m.span(), "ssn", re.sub(r"\D", "", m[0])) for m in _SSN.finditer(text)]
-        found += [(*m.span(), "phone", re.sub(r"[^\d+]", "", m[0])) for m in _PHONE.finditer(text)]
+            take((*m.span(2), "secret", m[2]) for m in _SECRET.finditer(text))
+        take((*m.span(), "key", m[0]) for m in _KEY.finditer(text))
+        take((a, z, "iban", text[a:z].replace(" ", "")) for a, z in _accepted(_IBAN, text, is_iban, " "))
+        take((*m.span(), "ip", m[0]) for m in _IP.finditer(text))
+        take((a, z, "card", digits(a, z)) for a, z in _accepted(_CARD_AS_PRINTED, text, is_card, " "))
+        take((*m.span(), "card", digits(*m.span())) for m in _CARD.finditer(text) if is_card(*m.span()))
+        take((*m.span(), "ssn", digits(*m.span())) for m in _SSN.finditer(text))
+        take((a, z, "phone", re.sub(r"[^\d+]", "", text[a:z])) for a, z in _accepted(_PHONE, text, is_phone, " .-"))
     if any(t in text for t in _GENDER):
-        found += [x for m in _NAME.finditer(text) for x in _name_parts(m)]
-    out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-    for x in found:
-        if not any(a < x[1] and x[0] < b for a, b in taken):
-            out.append(x)
-            taken.append(x[:2])
-    return sorted(out)
+        take(x for m in _NAME.finditer(text) for x in _name_parts(m))
+    return out
 
 
 class Stream:
