@@ -36,6 +36,8 @@ LONGEST = 40
 PASSES = 2
 SMOOTH = 0.05
 SLICE = 4 << 20
+#: Words less probable than this, in any language, are computed in logarithms.
+TINY = 1e-250
 REMEMBERED = 700_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -120,6 +122,20 @@ class Lattices:
             beta[w[first], e[1, lo]] += np.add.reduceat(flow, first)
         return beta
 
+    def log_pass(self, e: np.ndarray, last: np.ndarray, log_p: np.ndarray, back: bool = False) -> np.ndarray:
+        """The logarithm of :meth:`forward` or :meth:`backward`, for words whose probability a float can't hold."""
+        a, b = (2, 1) if back else (1, 2)
+        out = np.full((len(last), int(last.max()) + 1, log_p.shape[1]), -np.inf)
+        out[np.arange(len(last)), last if back else 0] = 0
+        order = np.lexsort((e[0], -e[1] if back else e[2]))
+        e, log_p = e[:, order], log_p[order]
+        for lo, hi in self._levels(e[b]):
+            w = e[0, lo:hi]
+            flow = out[w, e[a, lo:hi]] + log_p[lo:hi]
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            out[w[first], e[b, lo]] = np.logaddexp.reduceat(flow, first)
+        return out
+
     @staticmethod
     def _levels(nodes: np.ndarray) -> list[tuple[int, int]]:
         cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
@@ -130,7 +146,13 @@ class Lattices:
         out = [np.zeros((0, p.shape[1]))]
         for i in range(0, len(words), 20_000):
             e, last = self.edges(words[i : i + 20_000])
-            out.append(np.log(self.forward(e, last, p[e[3]])[np.arange(len(last)), last]))
+            z = self.forward(e, last, p[e[3]])[np.arange(len(last)), last]
+            low = np.flatnonzero((z < TINY).any(axis=1))
+            z = np.log(np.maximum(z, TINY))
+            if len(low):
+                e, last = self.edges([words[i + k] for k in low])
+                z[low] = self.log_pass(e, last, np.log(p[e[3]]))[np.arange(len(last)), last]
+            out.append(z)
         return np.concatenate(out)
 
     def expected(self, words: list[str], weights: np.ndarray, language: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -142,8 +164,18 @@ class Lattices:
             own = p[e[3], lang[e[0]]][:, None]
             alpha, beta = self.forward(e, last, own)[:, :, 0], self.backward(e, last, own)[:, :, 0]
             z = alpha[np.arange(len(last)), last]
-            use = alpha[e[0], e[1]] * own[:, 0] * beta[e[0], e[2]] * (n / z)[e[0]]
+            low = np.flatnonzero(z < TINY)
+            share = np.where(z < TINY, 0, n / np.maximum(z, TINY))
+            use = alpha[e[0], e[1]] * own[:, 0] * beta[e[0], e[2]] * share[e[0]]
             np.add.at(out, (e[3], lang[e[0]]), use)
+            if len(low):
+                e, last = self.edges([words[i + k] for k in low])
+                lang, n = lang[low], n[low]
+                own = np.log(p[e[3], lang[e[0]]])[:, None]
+                alpha, beta = self.log_pass(e, last, own)[:, :, 0], self.log_pass(e, last, own, back=True)[:, :, 0]
+                z = alpha[np.arange(len(last)), last]
+                use = np.exp(alpha[e[0], e[1]] + own[:, 0] + beta[e[0], e[2]] - z[e[0]]) * n[e[0]]
+                np.add.at(out, (e[3], lang[e[0]]), use)
         return out
 
 
