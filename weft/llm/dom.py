@@ -25,6 +25,8 @@ CHROME = set(
     "signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager skip hidden search searchbox tags taglist copyright legal "
     "contentinfo complementary teaser outbrain taboola paywall".split()
 )
+#: First words of a class that says how a page is laid out around something.
+MODIFIERS = set("has no with without".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>"']|\Z)""", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -33,7 +35,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "path", "chrome")
+    __slots__ = ("tag", "attributes", "parent", "children", "path", "chrome", "worded")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
@@ -44,11 +46,18 @@ class Node:
         kind = _DIGITS.sub("#", unescape(names[0])) if names else ""
         step = f"{tag}.{kind}" if kind else tag
         self.path = f"{parent.path}/{step}" if parent else step
-        words = {w.lower() for v in (*names, found.get("id", ""), found.get("role", "")) for w in _SPLIT.split(v)}
+        tokens = [[w.lower() for w in _SPLIT.split(v) if w] for v in (*names, *found.get("id", "").split(), *found.get("role", "").split())]
+        tokens = [t for t in tokens if t and t[0] not in MODIFIERS]
+        words = {w for t in tokens for w in t}
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         # the header of an article holds its title; that of the page doesn't
         in_article = any(a.tag == "article" for a in self.ancestors())
-        self.chrome = tag in SKIPPED or hidden or tag == "header" and not in_article or bool(words & CHROME) and tag not in ("html", "body", "article", "main") and not (in_article and words & CHROME <= {"header"})
+        self.chrome = tag in SKIPPED or hidden or tag == "header" and not in_article
+        #: Chrome by words alone: 2 if a whole class, id or role is such a word, 1 if only a part of one is.
+        self.worded = 0
+        if not self.chrome and words & CHROME and not (in_article and words & CHROME <= {"header"}):
+            self.worded = 2 if any(len(t) == 1 and t[0] in CHROME for t in tokens) else 1
+            self.chrome = tag not in ("html", "body", "article", "main")
 
     def ancestors(self):
         node = self.parent
@@ -100,9 +109,30 @@ def parse(html: str) -> Node:
             stack[-1].children.append(" ")
     if at < len(html):
         stack[-1].children.append(html[at:])
+    _relieve(root)
     return root
 
 
+def _relieve(root: Node) -> None:
+    """Wrappers that are chrome by words alone are none if they hold main or the page's first article that no words
+    mark, or, where only a part of a word marks them, most of the page's text outside links."""
+    order = nodes(root)
+    if not any(x.chrome and x.worded for x in order):
+        return
+    text: dict[int, int] = {}
+    for x in reversed(order):
+        kids = [c for c in x.children if isinstance(c, Node) and (not c.chrome or c.worded)]
+        text[id(x)] = 0 if x.tag == "a" else sum(len(c.strip()) for c in x.children if isinstance(c, str)) + sum(text[id(k)] for k in kids)
+    article = next((x for x in order if x.tag == "article"), None)
+    for x in order:
+        if x.tag == "main" or x is article and not x.worded:
+            for a in x.ancestors():
+                a.chrome = a.chrome and not a.worded
+    for x in order:
+        if x.chrome and x.worded == 1 and 2 * text[id(x)] > text[id(root)]:
+            x.chrome = False
+
+
 def blocks(node: Node) -> list[str]:
     """The blocks of text under a node in page order, without what is not the article."""
     out, parts = [], []
