@@ -305,11 +305,12 @@ def test_repeated_passages(table):
     assert got == removed(table.collect())
 
 
-@pytest.mark.parametrize("crowd", [1, 64])
-def test_edges_of_passages(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, hot", [(1, 1), (3, 8), (64, 8)])
+def test_edges_of_passages(spark, monkeypatch, crowd, hot):
     import random
 
     monkeypatch.setattr(suffix, "CROWD", crowd)
+    monkeypatch.setattr(suffix, "LEAST_HOT", hot)
     random.seed(5)
     w = lambda n: "".join(random.choice("abcdefgh é") for _ in range(n))
     base, line = w(700), "a very common line of text " * 6
@@ -322,8 +323,36 @@ def test_edges_of_passages(spark, monkeypatch, crowd):
     assert got == removed(docs.collect())
 
 
-def test_suffix_sort_orders_suffixes():
-    from weft.llm.suffixsort import Hashes, sort_buckets
+def test_one_line_in_thousands_of_contexts(spark):
+    """A line of 190 bytes, in part of the texts with its neighbours of 30 bytes; its anchors are crowded and hot."""
+    import random
+
+    random.seed(6)
+    w = lambda n: "".join(random.choice("abcdefghijklmnop") for _ in range(n))
+    line, left, right = w(190), w(30), w(30)
+    rows = [(i, w(60) + (left if i % 7 == 0 else w(30)) + line + (right if i % 11 == 0 else w(30)) + w(60)) for i in range(3000)] + [(5000, "the same text " * 30)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.op10(docs).collect())
+    assert got == removed(docs.collect())
+
+
+def test_prime_hashes_are_those_of_the_definition():
+    from weft.llm.suffixsort import BASES, PRIME, PrimeHashes, SEED
+
+    data = np.random.default_rng(3).integers(0, 256, 500).astype(np.uint8)
+    values = [int(v) for v in np.random.default_rng(SEED + 1).integers(1, PRIME, 256, dtype=np.uint64)]
+    h = PrimeHashes(data, {})
+    for a, n in ((0, 1), (3, 200), (120, 380), (499, 1)):
+        want = sum(values[b] * pow(BASES[1], i, PRIME) for i, b in enumerate(data[a : a + n].tolist())) % PRIME
+        assert int(h.of(np.array([a]), np.array([n]))[0]) == want
+
+
+@pytest.mark.parametrize("kind", ["Hashes", "PrimeHashes"])
+def test_suffix_sort_orders_suffixes(kind):
+    from weft.llm import suffixsort
+    from weft.llm.suffixsort import sort_buckets
+
+    Hashes = getattr(suffixsort, kind)
 
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 400).astype(np.uint8)

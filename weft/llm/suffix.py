@@ -5,15 +5,22 @@ neighbour's have WINDOW bytes in common.  The suffixes are never sorted all at o
 
 1. Equal windows hold the same ``GRAM``-byte string of smallest hash, their *anchor*, at the same offset.  A maximal run of
    starts with one anchor is a *unit* (about 65 starts), and its span is the bytes of its windows.  A unit is known by the
-   hash of its anchor and that of its span.  Only these numbers are shuffled, duplicates within a task folded first.
+   64-bit hash of its anchor and a 128-bit hash of its span, of another kind.  Only these numbers are shuffled, duplicates
+   within a task folded first.
 2. Units with equal spans are repeated as a whole: so are the insides of copies and long passages, at a cost of some bytes
    for each unit.  A unit whose anchor is met nowhere else is not repeated.  What is left, units with a common anchor and
    different spans, are the edges of repeated passages.
 3. For those the spans are fetched and, per anchor, the suffixes that begin at it are sorted by the hash-compared
    mergesort of :mod:`weft.llm.suffixsort`; neighbours give the common extension to the right, a binary search that to the
    left, and both together the repeated starts.  Matches are verified byte by byte.
-4. Anchors with more than ``CROWD`` different spans, as at the end of a very common line, are not sorted in one task:
-   their windows are counted by a 128-bit hash.
+4. An anchor with more than ``CROWD`` different spans, such as the end of a very common line, is split by the order of its
+   suffixes: the distances from a start to the anchor are cut into ``PARTS`` ranges, and all windows of a range hold the
+   bytes that reach from its largest distance to the smallest one's end.  This longer string takes the anchor's place, and
+   steps 2 to 4 are done again with it.  After four rounds a range is one distance and its string the window itself, so the
+   rounds end however many spans there are, and every group that is sorted has CROWD members at most.
+
+No group meets in one task: rows with an anchor that has more than its share of a task's different spans are dealt by
+their span as well, and a witness row tells the other rows of that anchor.
 
 Defined results: null and empty texts have no bytes; texts shorter than WINDOW lose nothing; repeated rows repeat each
 other; bytes, not characters, are removed, so :func:`clean` drops broken characters at the seams; an empty table gives an
@@ -23,21 +30,27 @@ empty result; extra columns are ignored by :func:`op10` and kept by :func:`clean
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.common import computed, fresh, pin_table
-from weft.llm.suffixsort import Hashes, common, mixed, sort_buckets
+from weft.llm.suffixsort import Hashes, PrimeHashes, common, mixed, sort_buckets
 from weft.llm.vocab import worker_store
 
-WINDOW, GRAM, CROWD = 200, 32, 64
-#: Bytes that are hashed at once, and units after which a task folds duplicates.
-BUFFER, FOLD = 1 << 20, 400_000
+WINDOW, GRAM = 200, 32
+#: Different spans that are sorted together, and ranges into which the distances of a larger group are cut.
+CROWD, PARTS = 64, 4
+#: Bytes that are hashed at once, and units, or spans, after which a task folds duplicates.
+BUFFER, FOLD, FOLD_SPANS = 1 << 20, 400_000, 50_000
+#: An anchor with more than this share of a task's units, and LEAST_HOT of them, is dealt by its spans.
+HOT_SHARE, LEAST_HOT = 1 / 2_000, 8
 #: Bits of the filters that spare documents a shuffle; a full filter costs time only.
 FILTER_BITS = 25
 _U = np.uint64
@@ -48,11 +61,10 @@ def _powers() -> dict:
 
 
 def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first start, starts, anchor's place, anchor's hash, span's hash) of the units of a buffer of texts."""
+    """(first start, starts, anchor's place, anchor's hash, span's hashes) of the units of a buffer of texts."""
     reach = WINDOW - GRAM + 1
     n = len(data) - WINDOW + 1
-    h, h2 = Hashes(data, _powers()), Hashes(data, _powers(), 1)
-    gram = mixed(h.windows(GRAM))
+    gram = mixed(Hashes(data, _powers()).windows(GRAM))
     key = (gram & ~_U(0xFFFFFF)) | np.arange(len(gram), dtype=np.uint64)  # ties go to the leftmost
     rows = np.concatenate((key, np.full(-len(key) % reach, ~_U(0)))).reshape(-1, reach)
     ahead, behind = np.minimum.accumulate(rows, axis=1).ravel(), np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -68,97 +80,174 @@ def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(start, n))
     start, count = start[fine[start]], count[fine[start]]
     at = (least[start] & _U(0xFFFFFF)).astype(np.int64)
-    span = count + WINDOW - 1
-    return start, count, at, gram[at], mixed(h.of(start, span) ^ mixed(h2.of(start, span)) + count.astype(np.uint64))
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    spans = b"".join([digest(view[i:j]) for i, j in zip(start.tolist(), (start + count + WINDOW - 1).tolist(), strict=True)])
+    return start, count, at, gram[at], np.frombuffer(spans, np.uint64).reshape(-1, 2)
 
 
 def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
-    """Buffers of whole texts, (bytes, bounds, rids, offsets in their texts); a long text comes in overlapping pieces."""
-    parts, bounds, rids, bases = [], [0], [], []
+    """Buffers of whole texts, (bytes, bounds, rows, offsets in their texts); a long text comes in overlapping pieces."""
+    parts, bounds, rows, bases = [], [0], [], []
 
     def out():
-        return np.frombuffer(b"".join(parts), np.uint8), np.array(bounds, np.int64), rids, bases
+        return np.frombuffer(b"".join(parts), np.uint8), np.array(bounds, np.int64), rows, bases
 
-    for rid, text in zip(b.column("rid").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+    for row, text in enumerate(b.column("bytes").to_pylist()):
         for base in range(0, max(1, len(text or b"") - WINDOW + 1), BUFFER):
             piece = (text or b"")[base : base + BUFFER + WINDOW - 1]
             if len(piece) < WINDOW:
                 continue
             if parts and bounds[-1] + len(piece) > 2 * BUFFER:
                 yield out()
-                parts, bounds, rids, bases = [], [0], [], []
-            parts.append(piece), bounds.append(bounds[-1] + len(piece)), rids.append(rid), bases.append(base)
+                parts, bounds, rows, bases = [], [0], [], []
+            parts.append(piece), bounds.append(bounds[-1] + len(piece)), rows.append(row), bases.append(base)
     if parts:
         yield out()
 
 
+# What a dealt row is: alone in its task, the one that goes on of several, one of the others (known to be repeated), and
+# the first two again of an anchor that is dealt by its spans; a witness only says that its anchor is.
+ALONE, MANY, DONE, HOT_ALONE, HOT_MANY, WITNESS = range(6)
+IDENT = "rid long, rid2 long, s long, n int, o int"
+DEALT = "p long, k long, ch long, ch2 long, role byte"
+SPANNED = "k long, kind byte, crowd boolean, rid long, rid2 long, s long, n int, o int, span binary, lo int, hi int"
+
+
+def _dealt(k: np.ndarray, ch: np.ndarray, known: np.ndarray, own: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """A task's rows with the number ``p`` they are dealt by; of those with equal ``k`` and ``ch`` one goes on.
+
+    ``known`` marks rows that are repeated elsewhere; the columns ``own`` begin with rid, rid2 and s.
+    """
+    order = np.lexsort((ch[:, 1], ch[:, 0], k))
+    k, ch, known = k[order], ch[order], known[order]
+    new_k = np.concatenate(([True], k[1:] != k[:-1]))
+    first = new_k | np.concatenate(([True], (ch[1:] != ch[:-1]).any(axis=1)))
+    starts, of_k = np.flatnonzero(first), np.flatnonzero(new_k)
+    many = np.zeros(len(k), bool)
+    many[starts] = (np.diff(np.append(starts, len(k))) > 1) | np.logical_or.reduceat(known, starts)
+    crowded = np.add.reduceat(first.astype(np.int64), of_k) > max(LEAST_HOT, len(k) * HOT_SHARE)
+    hot = np.repeat(crowded, np.diff(np.append(of_k, len(k))))
+    own = [c.take(pa.array(order)) for c in own]
+    rid, s = own[0].to_numpy().view(np.uint64), own[2].to_numpy().view(np.uint64)
+    p = np.where(~first, mixed(rid + mixed(s)), np.where(hot, mixed(k ^ mixed(ch[:, 0])), k))
+    role = np.where(~first, DONE, np.where(hot, HOT_ALONE, ALONE) + many).astype(np.int8)
+    told = k[of_k[crowded]]  # sorted before all other rows of their anchors
+    least = np.full(len(told), np.iinfo(np.int64).min)
+    cols = [np.concatenate((p, told)).view(np.int64), np.concatenate((k, told)).view(np.int64), np.concatenate((ch[:, 0].view(np.int64), least)), np.concatenate((ch[:, 1].view(np.int64), least)), np.concatenate((role, np.full(len(told), WITNESS, np.int8)))]
+    cols = [pa.array(c) for c in cols] + [pa.concat_arrays([c, pa.nulls(len(told), c.type)]) for c in own]
+    return pa.RecordBatch.from_arrays(cols, ["p", "k", "ch", "ch2", "role", *names])
+
+
 def _find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units as (done, k, ch, rid, s, n, o, many).  Of units with equal spans within a task one goes on, marked ``many``;
-    the others are known to be repeated (``done``) and are dealt by their document instead of their anchor."""
+    """Units of texts, dealt."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def fold() -> pa.RecordBatch:
-        rid, s, n, o, kh, ch = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ch, kh))
-        kh, ch, rid, s, n, o = kh[order], ch[order], rid[order], s[order], n[order], o[order]
-        first = np.concatenate(([True], (kh[1:] != kh[:-1]) | (ch[1:] != ch[:-1])))
-        many = np.diff(np.append(np.flatnonzero(first), len(kh))) > 1
-        flags = np.zeros(len(kh), bool)
-        flags[first] = many
-        k = np.where(first, kh, mixed(rid.astype(np.uint64)))
-        return pa.RecordBatch.from_arrays([pa.array(~first), pa.array(k.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(rid), pa.array(s), pa.array(n.astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(flags)], ["done", "k", "ch", "rid", "s", "n", "o", "many"])
+        rid, rid2, s, n, o, kh, ch = (np.concatenate(x) for x in zip(*held, strict=True))
+        own = [pa.array(rid), pa.array(rid2), pa.array(s), pa.array(n.astype(np.int32)), pa.array(o.astype(np.int32))]
+        return _dealt(kh, ch, np.zeros(len(kh), bool), own, ["rid", "rid2", "s", "n", "o"])
 
     size = 0
     for b in batches:
-        for data, bounds, rids, bases in _pieces(b):
+        rid, rid2 = b.column("rid").to_numpy(), b.column("rid2").to_numpy()
+        for data, bounds, rows, bases in _pieces(b):
             start, count, at, kh, ch = units(data, bounds)
             text = np.searchsorted(bounds, start, "right") - 1
-            held.append((np.array(rids, np.int64)[text], start - bounds[text] + np.array(bases, np.int64)[text], count, at - start, kh, ch))
+            row = np.array(rows, np.int64)[text]
+            held.append((rid[row], rid2[row], start - bounds[text] + np.array(bases, np.int64)[text], count, at - start, kh, ch))
             size += len(start)
             if size > FOLD:
                 yield fold()
                 held, size = [], 0
-    if held:
+    if size:
         yield fold()
 
 
-UNIT = "done boolean, k long, ch long, rid long, s long, n int, o int, many boolean"
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Crowded spans cut by ranges of the distance to the anchor, dealt by the string that all windows of a range hold."""
+    names = ["rid", "rid2", "s", "n", "o", "span", "lo", "hi"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+
+    def fold(rows: list[tuple]) -> pa.RecordBatch:
+        k, ch, known, *own = zip(*rows, strict=True)
+        ch = np.frombuffer(b"".join(ch), np.uint64).reshape(-1, 2)
+        return _dealt(np.array(k, np.uint64), ch, np.array(known), [pa.array(c, t) for c, t in zip(own, kinds, strict=True)], names)
+
+    held: list[tuple] = []
+    for b in batches:
+        for x in b.to_pylist():
+            step = -(-(x["hi"] - x["lo"] + 1) // PARTS)
+            for lo in range(x["lo"], x["hi"] + 1, step):
+                hi = min(lo + step - 1, x["hi"])
+                low, high = max(lo, x["o"] - x["n"] + 1), min(hi, x["o"])
+                if low <= high:
+                    o = x["o"]
+                    held_by_all, span = x["span"][o - lo : o + WINDOW - hi], x["span"][o - high : o + WINDOW - low]
+                    k = xxhash.xxh3_64_intdigest(struct.pack("<qii", x["k"], lo, hi) + held_by_all)
+                    held.append((k, xxhash.xxh3_128_digest(struct.pack("<i", high) + span), x["kind"] == 1, x["rid"], x["rid2"], x["s"] + o - high, high - low + 1, high, span, lo, hi))
+        if len(held) > FOLD_SPANS:
+            yield fold(held)
+            held = []
+    if held:
+        yield fold(held)
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From units sorted by (done, k, ch): kind 0, repeated as a whole; of each different span under an anchor with
+def _classify(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by (p, k, ch, ch2): kind 0, repeated as a whole; of each different span under an anchor with
     several, one more row of kind 1 (repeated) or 2 (alone).  Holds one row from batch to batch, however long a group."""
-    names = ["rid", "s", "n", "o", "k", "kind"]
-    rest: pa.Table | None = None
-    prev_k = prev_ch = opened = False  # of the held row: its neighbours before it, and whether its span's first row had one
-
-    def judged(t: pa.Table, last: bool) -> pa.RecordBatch:
-        nonlocal prev_k, prev_ch, opened
-        done, k, ch, many = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("done", "k", "ch", "many"))
-        same_k = (k[1:] == k[:-1]) & ~done[1:] & ~done[:-1]
-        same_ch = same_k & (ch[1:] == ch[:-1])
-        before_k, before_ch = np.concatenate(([prev_k], same_k)), np.concatenate(([prev_ch], same_ch))
-        after_k, after_ch = np.append(same_k, False), np.append(same_ch, False)
-        begin = np.maximum.accumulate(np.where(before_ch, -1, np.arange(len(k))))
-        mixed_before = np.where(begin >= 0, before_k[begin], opened)
-        upto = len(k) if last else len(k) - 1
-        prev_k, prev_ch, opened = bool(before_k[-1]), bool(before_ch[-1]), bool(mixed_before[-1])
-        repeated = done | many | before_ch | after_ch
-        cover = np.flatnonzero(repeated[:upto])
-        shown = np.flatnonzero((~done & ~after_ch & (mixed_before | after_k))[:upto])
-        rows = np.concatenate((cover, shown))
-        kind = np.concatenate((np.zeros(len(cover), np.int8), np.where(repeated[shown], 1, 2).astype(np.int8)))
-        t = t.select(["rid", "s", "n", "o", "k"]).take(pa.array(rows)).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns), pa.array(kind)], names)
 
-    for b in batches:
-        if b.num_rows:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            yield judged(t, False)
-            rest = t.slice(t.num_rows - 1)
-    if rest is not None:
-        yield judged(rest, True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        prev_k = prev_ch = opened = told = False  # of the held row: its neighbours before it, whether its span's first row had one, a witness
+
+        def judged(t: pa.Table, last: bool) -> pa.RecordBatch:
+            nonlocal prev_k, prev_ch, opened, told
+            p, k, ch, ch2, role = (t.column(c).combine_chunks().to_numpy() for c in ("p", "k", "ch", "ch2", "role"))
+            done, witness = role == DONE, role == WITNESS
+            same_k = (k[1:] == k[:-1]) & (p[1:] == p[:-1]) & ~done[1:] & ~done[:-1]
+            same_ch = same_k & (ch[1:] == ch[:-1]) & (ch2[1:] == ch2[:-1]) & ~witness[1:] & ~witness[:-1]
+            before_k, before_ch = np.concatenate(([prev_k], same_k)), np.concatenate(([prev_ch], same_ch))
+            after_k, after_ch = np.append(same_k, False), np.append(same_ch, False)
+            begin = np.maximum.accumulate(np.where(before_ch, -1, np.arange(len(k))))
+            mixed_before = np.where(begin >= 0, before_k[begin], opened)
+            begin = np.maximum.accumulate(np.where(before_k, -1, np.arange(len(k))))
+            hot = np.where(begin >= 0, witness[begin], told) | (role == HOT_ALONE) | (role == HOT_MANY)
+            upto = len(k) if last else len(k) - 1
+            repeated = done | (role == MANY) | (role == HOT_MANY) | before_ch | after_ch
+            cover = np.flatnonzero((repeated & ~witness)[:upto])
+            shown = np.flatnonzero((~done & ~witness & ~after_ch & (mixed_before | after_k | hot))[:upto])
+            prev_k, prev_ch, opened, told = bool(before_k[-1]), bool(before_ch[-1]), bool(mixed_before[-1]), bool(np.where(begin >= 0, witness[begin], told)[-1])
+            rows = np.concatenate((cover, shown))
+            kind = np.concatenate((np.zeros(len(cover), np.int8), np.where(repeated[shown], 1, 2).astype(np.int8)))
+            t = t.select(names).take(pa.array(rows)).combine_chunks()
+            own = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
+            return pa.RecordBatch.from_arrays([*own, pa.array(kind), pa.array(hot[rows])], [*names, "kind", "hot"])
+
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                t = t if rest is None else pa.concat_tables([rest, t])
+                yield judged(t, False)
+                rest = t.slice(t.num_rows - 1)
+        if rest is not None:
+            yield judged(rest, True)
+
+    return run
+
+
+def _judged(dealt: DataFrame, more: str = "") -> DataFrame:
+    """The dealt rows classified, with the columns of IDENT and ``more``, pinned."""
+    schema = f"{IDENT}, k long{more}, kind byte, hot boolean"
+    names = [x.split()[0] for x in f"{IDENT}, k long{more}".split(", ")]
+    return pin_table(dealt.repartition("p").sortWithinPartitions("p", "k", "ch", "ch2").mapInArrow(_classify(names), schema))
+
+
+def _by_crowd(judged: DataFrame) -> DataFrame:
+    """The rows of kinds 1 and 2 whose anchor has one of kind 2, with ``crowd``: too many to be sorted together."""
+    calm, hot = judged.where("kind > 0 and not hot"), judged.where("kind > 0 and hot")
+    anchors = calm.groupBy("k").agg(F.count(F.lit(1)).alias("spans"), F.max("kind").alias("most")).where("most = 2")
+    calm = calm.join(anchors, "k").withColumn("crowd", F.col("spans") > CROWD).drop("spans", "most", "hot")
+    return calm.unionByName(hot.drop("hot").withColumn("crowd", F.lit(True)))
 
 
 def _in_filter(rid: str, wanted: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,11 +267,15 @@ def _in_filter(rid: str, wanted: DataFrame, rows: DataFrame) -> tuple[DataFrame,
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("k", pa.int64()), ("kind", pa.int8()), ("crowd", pa.bool_()), ("rid", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("span", pa.binary())])
+    kinds = [("k", pa.int64()), ("kind", pa.int8()), ("crowd", pa.bool_()), ("rid", pa.int64()), ("rid2", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("span", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())]
+    schema = pa.schema(kinds)
+    seen: set[tuple[int, int]] = set()  # a repeated row is asked once
     for b in batches:
         rows = []
-        for text, rid, asked in zip(b.column("bytes").to_pylist(), b.column("rid").to_pylist(), b.column("asked").to_pylist(), strict=True):
-            rows += [(x["k"], x["kind"], x["crowd"], rid, x["s"], x["n"], x["o"], text[x["s"] : x["s"] + x["n"] + WINDOW - 1]) for x in asked]
+        for text, rid, rid2, asked in zip(*(b.column(c).to_pylist() for c in ("bytes", "rid", "rid2", "asked")), strict=True):
+            if (rid, rid2) not in seen:
+                seen.add((rid, rid2))
+                rows += [(x["k"], x["kind"], x["crowd"], rid, rid2, x["s"], x["n"], x["o"], text[x["s"] : x["s"] + x["n"] + WINDOW - 1], 0, WINDOW - GRAM) for x in asked]
         cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -198,7 +291,7 @@ def extend(k: np.ndarray, kind: np.ndarray, n: np.ndarray, o: np.ndarray, spans:
     base = np.cumsum(length) - length
     n, o = n.astype(np.int64), o.astype(np.int64)
     place, room = base + o, length - o
-    h = Hashes(data, _powers())
+    h = PrimeHashes(data, _powers())
     starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     sizes = np.diff(np.append(starts, len(k)))
     first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
@@ -237,13 +330,13 @@ def extend(k: np.ndarray, kind: np.ndarray, n: np.ndarray, o: np.ndarray, spans:
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated starts (rid, s, n) from spans sorted by anchor; an anchor has CROWD spans at most, or copies of them."""
-    names = ["rid", "s", "n"]
+    """Repeated starts (rid, rid2, s, n) from spans sorted by anchor; an anchor has CROWD spans at most."""
+    names = ["rid", "rid2", "s", "n"]
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        k, kind, n, o, rid, s = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("k", "kind", "n", "o", "rid", "s"))
+        k, kind, n, o, rid, rid2, s = (t.column(c).combine_chunks().to_numpy() for c in ("k", "kind", "n", "o", "rid", "rid2", "s"))
         row, low, many = extend(k, kind, n, o, t.column("span").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(s[row] + low), pa.array(many.astype(np.int32))], names)
+        return pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(rid2[row]), pa.array(s[row] + low), pa.array(many.astype(np.int32))], names)
 
     rest: pa.Table | None = None
     for b in batches:
@@ -259,38 +352,26 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(rest)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, rid, s, kind) of every start of a crowded span."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 2_048):
-            x = b.slice(lo, 2_048)
-            spans, n = x.column("span").to_pylist(), x.column("n").to_numpy().astype(np.int64)
-            data = np.frombuffer(b"".join(spans), np.uint8)
-            length = np.array([len(s) for s in spans], np.int64)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(np.cumsum(length) - length, n) + step
-            w = [mixed(Hashes(data, _powers(), i).of(start, WINDOW)).view(np.int64) for i in (0, 1)]
-            cols = [*w, np.repeat(x.column("rid").to_numpy(), n), np.repeat(x.column("s").to_numpy(), n) + step, np.repeat(x.column("kind").to_numpy(), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "rid", "s", "kind"])
+def _sorted(spans: DataFrame) -> DataFrame:
+    return spans.repartition("k").sortWithinPartitions("k").mapInArrow(_extended, "rid long, rid2 long, s long, n int")
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """(rid, s, n): runs of repeated window starts in ``texts`` (rid, bytes); runs may overlap."""
-    found = texts.mapInArrow(_find_units, UNIT)
-    sorted_ = found.repartition("done", "k").sortWithinPartitions("done", "k", "ch")
-    judged = pin_table(sorted_.mapInArrow(_classify, "rid long, s long, n int, o int, k long, kind byte"))
-    edges = judged.where("kind > 0")
-    anchors = edges.groupBy("k").agg(F.count(F.lit(1)).alias("spans"), F.max("kind").alias("most")).where("most = 2")
-    asked = edges.join(anchors, "k").select("rid", F.struct("k", "kind", (F.col("spans") > CROWD).alias("crowd"), "s", "n", "o").alias("x"))
-    asked = pin_table(asked.groupBy("rid").agg(F.collect_list("x").alias("asked")))  # a document's own units
+    """(rid, rid2, s, n): runs of repeated window starts in ``texts`` (rid, rid2, bytes); runs may overlap."""
+    starts = ["rid", "rid2", "s", "n"]
+    judged = _judged(texts.mapInArrow(_find_units, f"{DEALT}, {IDENT}"))
+    asked = _by_crowd(judged).select("rid", "rid2", F.struct("k", "kind", "crowd", "s", "n", "o").alias("x"))
+    asked = pin_table(asked.groupBy("rid", "rid2").agg(F.collect_set("x").alias("asked")))  # a document's own units
     may, _ = _in_filter("rid", asked, texts)
-    schema = "k long, kind byte, crowd boolean, rid long, s long, n int, o int, span binary"
-    spans = pin_table(may.join(asked, "rid").mapInArrow(_spans, schema))
-    calm = spans.where("not crowd").repartition("k").sortWithinPartitions("k").mapInArrow(_extended, "rid long, s long, n int")
-    windows = pin_table(spans.where("crowd").mapInArrow(_windows, "w1 long, w2 long, rid long, s long, kind byte"))
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
-    crowded = windows.where("kind = 2").join(twice, ["w1", "w2"], "left_semi").select("rid", "s", F.lit(1).alias("n"))
-    return judged.where("kind = 0").select("rid", "s", "n").unionByName(calm).unionByName(crowded)
+    spans = pin_table(may.join(asked, ["rid", "rid2"]).mapInArrow(_spans, SPANNED))
+    found = judged.where("kind = 0").select(*starts).unionByName(_sorted(spans.where("not crowd")))
+    crowded = spans.where("crowd")
+    while not crowded.isEmpty():
+        judged = _judged(crowded.mapInArrow(_finer, f"{DEALT}, {IDENT}, span binary, lo int, hi int"), ", span binary, lo int, hi int")
+        spans = _by_crowd(judged)
+        found = found.unionByName(judged.where("kind = 0").select(*starts)).unionByName(_sorted(spans.where("not crowd")))
+        crowded = spans.where("crowd and lo < hi")
+    return found
 
 
 def runs(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -322,16 +403,21 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame, text: str, *more: str) -> DataFrame:
-    """``rid``: rows that agree in doc_id and text share it, and repeat each other anyway."""
+    """``rid`` and ``rid2``, 128 bits: rows that agree in doc_id and text share them, and repeat each other anyway."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(*more, F.xxhash64("doc_id", text).alias("rid"), data.alias("bytes"))
+    return docs.select(*more, F.xxhash64("doc_id", text).alias("rid"), F.xxhash64(F.lit(1), text, "doc_id").alias("rid2"), data.alias("bytes"))
+
+
+def _starts(found: DataFrame) -> DataFrame:
+    """(rid, rid2, starts); a repeated row's are folded in each task first, so a list is never longer than a document's own."""
+    return found.groupBy("rid", "rid2").agg(F.collect_set(F.struct("s", "n")).alias("starts"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    found = pin_table(repeated(_texts(docs, "text")).groupBy("rid").agg(F.collect_list(F.struct("s", "n")).alias("starts")))  # a document's own units
+    found = pin_table(_starts(repeated(_texts(docs, "text"))))
     may, free = _in_filter("rid", found, _texts(docs, "text", "doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = may.join(found, "rid", "left").select("doc_id", "bytes", "starts").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = may.join(found, ["rid", "rid2"], "left").select("doc_id", "bytes", "starts").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     whole = free.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"))
     return cut.unionByName(whole)
@@ -339,9 +425,9 @@ def op10(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``."""
-    rid, starts = fresh("_rid", docs.columns), fresh("_starts", docs.columns)
-    found = repeated(_texts(docs, text)).groupBy("rid").agg(F.collect_list(F.struct("s", "n")))
-    rows = docs.withColumn(rid, F.xxhash64("doc_id", text)).join(pin_table(found.toDF(rid, starts)), rid, "left").drop(rid)
+    rid, rid2, starts = fresh("_rid", docs.columns), fresh("_rid2", docs.columns), fresh("_starts", docs.columns)
+    found = pin_table(_starts(repeated(_texts(docs, text)))).toDF(rid, rid2, starts)
+    rows = docs.withColumns({rid: F.xxhash64("doc_id", text), rid2: F.xxhash64(F.lit(1), text, "doc_id")}).join(found, [rid, rid2], "left").drop(rid, rid2)
 
     def run(texts: list, own: list) -> list[list]:
         out = []

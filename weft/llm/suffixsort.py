@@ -1,17 +1,19 @@
 """Suffixes compared by prefix polynomial hashes.
 
-H(x, n), the hash of n bytes at x, comes from two prefix sums modulo 2**64 in constant time.  The common extension of two
-places, to the right or to the left, is found by binary search on n, so comparing two suffixes takes a logarithmic number
-of steps, and a bottom-up mergesort orders all suffixes of many small buckets at once with array operations.  Extensions
-that matter are verified byte by byte, so a collision of hashes can't change a result.
+H(x, n), the hash of n bytes at x, comes from two prefix sums in constant time: modulo 2**64 where a hash only chooses
+(:class:`Hashes`), modulo the prime 2**61 - 1 where suffixes are compared (:class:`PrimeHashes`), as powers of two have
+known colliding strings.  The common extension of two places, to the right or to the left, is found by binary search on n,
+so comparing two suffixes takes a logarithmic number of steps, and a bottom-up mergesort orders all suffixes of many small
+buckets at once with array operations.  Extensions that matter are verified byte by byte, so a collision of hashes can't
+make a match.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Odd multipliers of two independent hashes, and the seed of the bytes' random values.
-BASES, SEED = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95), 20_011
+#: The hashes' multipliers, the prime, and the seed of the bytes' random values.
+BASES, PRIME, SEED = (0x9E3779B97F4A7C15, 0x1342543DE82EF95), (1 << 61) - 1, 20_011
 _U = np.uint64
 
 
@@ -22,16 +24,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """H over one buffer.  ``powers`` is a dictionary kept by the caller: powers are computed once per worker."""
+    """H over one buffer, modulo 2**64.  ``powers`` is a dictionary kept by the caller: powers are computed once per worker."""
 
-    def __init__(self, data: np.ndarray, powers: dict, which: int = 0) -> None:
+    def __init__(self, data: np.ndarray, powers: dict) -> None:
         n = len(data)
-        have = powers.get(which)
+        have = powers.get("word")
         if have is None or len(have[0]) <= n:
-            base = BASES[which]
             size = max(1 << 16, 1 << (n + 1).bit_length())
-            have = powers[which] = (_powers(base, size), _powers(pow(base, -1, 1 << 64), size))
-        values = np.random.default_rng(SEED + which).integers(1, 1 << 63, 256, dtype=np.uint64)
+            have = powers["word"] = (_powers(BASES[0], size), _powers(pow(BASES[0], -1, 1 << 64), size))
+        values = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
         self.back = have[1]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * have[0][:n], out=self.sums[1:])
@@ -45,13 +46,53 @@ class Hashes:
         return (self.sums[length:] - self.sums[:n]) * self.back[:n]
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b modulo PRIME, by halves of 32 bits, as 2**61 = 1 and 2**64 = 8."""
+    half = _U(0xFFFFFFFF)
+    a1, a0, b1, b0 = a >> _U(32), a & half, b >> _U(32), b & half
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced(((a1 * b1) << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)) + (low >> _U(61)) + (low & _U(PRIME)))
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, _times(out, np.full(1, pow(base, len(out), PRIME), np.uint64))))
+    return out
+
+
+class PrimeHashes:
+    """H over one buffer, modulo PRIME."""
+
+    def __init__(self, data: np.ndarray, powers: dict) -> None:
+        n = len(data)
+        have = powers.get("prime")
+        if have is None or len(have[0]) <= n:
+            size = max(1 << 16, 1 << (n + 1).bit_length())
+            have = powers["prime"] = (_prime_powers(BASES[1], size), _prime_powers(pow(BASES[1], -1, PRIME), size))
+        values = np.random.default_rng(SEED + 1).integers(1, PRIME, 256, dtype=np.uint64)
+        self.back = have[1]
+        terms = _times(values[data], have[0][:n])
+        high, low = np.cumsum(terms >> _U(32)), np.cumsum(terms & _U(0xFFFFFFFF))  # of halves, which can't overflow
+        self.sums = np.zeros(n + 1, np.uint64)
+        self.sums[1:] = _reduced(_times(_reduced(high), np.full(1, 1 << 32, np.uint64)) + _reduced(low))
+
+    def of(self, start: np.ndarray, length) -> np.ndarray:
+        return _times(_reduced(self.sums[start + length] + _U(PRIME) - self.sums[start]), self.back[start])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits spread, as the low bits of H depend on few bits of the bytes."""
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
     return x ^ (x >> _U(32))
 
 
-def common(h: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int = 1) -> np.ndarray:
+def common(h: Hashes | PrimeHashes, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int = 1) -> np.ndarray:
     """Length of the common extension of places a and b, ``most`` at most; to the left with step -1."""
     low, high = np.zeros_like(most), most.copy()
     while (open_ := low < high).any():
@@ -61,7 +102,7 @@ def common(h: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int
     return low
 
 
-def _order(h: Hashes, data: np.ndarray, a, room_a, b, room_b) -> np.ndarray:
+def _order(h: Hashes | PrimeHashes, data: np.ndarray, a, room_a, b, room_b) -> np.ndarray:
     """-1, 0 or 1 as the suffix at a, of length room_a, comes before, with or after that at b."""
     most = np.minimum(room_a, room_b)
     n = common(h, a, b, most)
@@ -71,7 +112,7 @@ def _order(h: Hashes, data: np.ndarray, a, room_a, b, room_b) -> np.ndarray:
     return np.where(end, np.sign(room_a - room_b), by_byte)
 
 
-def sort_buckets(h: Hashes, data: np.ndarray, place: np.ndarray, room: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def sort_buckets(h: Hashes | PrimeHashes, data: np.ndarray, place: np.ndarray, room: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The order of the suffixes (place, room) within their buckets.  Rows of a bucket are contiguous; ``first`` and
     ``size`` are those of each row's bucket.  Bottom-up mergesort: runs of doubling width are merged by ranks."""
     order = np.arange(len(place))
