@@ -48,7 +48,7 @@ WINDOW, GRAM = 200, 32
 #: Different spans that are sorted together, and ranges into which the distances of a larger group are cut.
 CROWD, PARTS = 64, 4
 #: Bytes that are hashed at once, and units, or spans, after which a task folds duplicates.
-BUFFER, FOLD, FOLD_SPANS = 1 << 20, 400_000, 50_000
+BUFFER, FOLD, FOLD_SPANS = 1 << 19, 200_000, 20_000
 #: An anchor with more than this share of a task's units, and LEAST_HOT of them, is dealt by its spans.
 HOT_SHARE, LEAST_HOT = 1 / 2_000, 8
 #: Bits of the filters that spare documents a shuffle; a full filter costs time only.
@@ -340,8 +340,8 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rest: pa.Table | None = None
     for b in batches:
-        for lo in range(0, b.num_rows, 8_192):
-            t = pa.Table.from_batches([b.slice(lo, 8_192)])
+        for lo in range(0, b.num_rows, 2_048):
+            t = pa.Table.from_batches([b.slice(lo, 2_048)])
             t = t if rest is None else pa.concat_tables([rest, t])
             k = t.column("k").combine_chunks().to_numpy()
             cut = int(np.searchsorted(k, k[-1], "left"))
