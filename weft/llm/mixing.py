@@ -4,17 +4,22 @@ Each source gets a target number of words.  A document's expected number of copi
 source's size; the whole part is certain, and the fractional part is rounded by the pivotal method.  A document's
 *mass* is fraction x size, in words.  Two documents of a source meet: a coin, weighted so that expectations stay, moves
 mass from one to the other until one is empty or full, hence decided.  The other carries the rest on.  No step changes
-the mass of the source, so the words taken differ from the target only by the coin of its last document, and a few
-short documents make up for that one (:func:`_trimmed`).
+the mass of the source, so the words taken differ from the target only by the coin of its last document.
+
+That document would be one of the longest, as of two that meet the shorter one is decided.  So the documents longer than
+1/``FINE`` of their source, FINE of them at most, come first, from long to short: each meets all shorter ones at once, which
+give or take mass in equal shares.  The shorter ones all have one fraction, which moves a little, and the coin keeps all
+expectations as before.  What the source is off by is then the coin of a document of 1/FINE of its size at most, unless the
+shorter ones can't make up for a long one.
 
 The pairs form a reduction tree.  A leaf holds about ``FAN_IN`` documents of a source, dealt by a hash of the row, is
 folded by one ``aggregate`` call and sends one undecided document up; the next level folds ``FAN_IN`` of those.  A source
-with a third of all rows has a third of the leaves.  All coins are hashes of row and seed: reruns agree, also those of
-lost tasks.
+with a third of all rows has a third of the leaves.  All coins are hashes of row, its number among equal rows, and seed:
+reruns agree, also those of lost tasks.
 
 Defined results: null text has size 0; a document of size 0 is never decided by a coin and is taken 0 words; null
-sources form one source, ordered last; identical rows share their leaf; an empty table gives an empty result; extra
-columns are kept by :func:`mix` and ignored by :func:`plan`.
+sources form one source, ordered last; identical rows are numbered and decided each; an empty table gives an empty result;
+extra columns are kept by :func:`mix` and ignored by :func:`plan`.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ from pyspark.sql import functions as F
 from weft.llm.common import boxed, pin, row_hash, small, uniform, word_count
 
 FAN_IN = 64
+#: Documents longer than this part of their source are settled first.
+FINE = 500
+#: Equal rows that are numbered in one place; more are dealt over the tasks.
+CHUNK = 4_096
 
 
 def source_targets(sizes: DataFrame, epochs: float, weights: Sequence[float], cap: float) -> DataFrame:
@@ -76,85 +85,103 @@ def _meet(seed: int, level: int):
     return merge
 
 
-def _trimmed(leaves: DataFrame, last: DataFrame) -> DataFrame:
-    """The leaves' verdicts, where a few leaves of each source make up for the coin of the source's last document.
+def _times(rows: DataFrame, n: str, ordinal: str, many: bool) -> DataFrame:
+    """Every row ``n`` times, numbered from 0; where there are ``many``, chunks of them are dealt over the tasks."""
+    upto = lambda last: F.sequence(F.lit(0).cast("long"), last)
+    if not many:
+        return rows.withColumn(ordinal, F.explode(upto(F.col(n) - 1)))
+    few = rows.where(F.col(n) <= CHUNK).withColumn(ordinal, F.explode(upto(F.col(n) - 1)))
+    first = rows.where(F.col(n) > CHUNK).withColumn(ordinal, F.explode(upto(F.expr(f"({n} - 1) div {CHUNK}")))).repartition(ordinal)
+    return few.unionByName(first.withColumn(ordinal, F.explode(F.transform(upto(F.least(F.lit(CHUNK), F.col(n) - F.col(ordinal) * CHUNK) - 1), lambda i: i + F.col(ordinal) * CHUNK))))
 
-    That document is often the longest of all.  In the source's first ``FAN_IN`` leaves, from long to short, each verdict is turned
-    which brings the words taken nearer to the target.
-    """
-    first = leaves.where(F.size("f.done") > 0).groupBy("source").agg(F.min(F.expr(f"block div {FAN_IN}")).alias("block"))
-    lacks = last.select("source", (F.col("m") - F.when(F.col("up"), F.col("size")).otherwise(0.0)).alias("lacks"))
-    a, b = first.alias("a"), lacks.alias("b")
-    marks = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("t_source"), F.col("a.block").alias("t_block"), "lacks")
-    marks = small(pin(marks))
-    rows = leaves.select("source", F.expr(f"block div {FAN_IN}").alias("block"), F.col("f.done").alias("done"))
-    rows = rows.join(marks, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block")), "left")
-    others = rows.where(F.col("lacks").isNull()).select("done")
-    rows = rows.where(F.col("lacks").isNotNull()).groupBy("source").agg(F.flatten(F.collect_list("done")).alias("done"), F.first("lacks").alias("lacks"))
-
-    def turn(acc: Column, x: Column) -> Column:
-        gain = F.when(x["up"], -x["size"]).otherwise(x["size"])
-        better = F.abs(acc["lacks"] - gain) < F.abs(acc["lacks"])
-        now = F.struct(x["row"].alias("row"), x["size"].alias("size"), (x["up"] != better).alias("up"))
-        return F.struct(F.when(better, acc["lacks"] - gain).otherwise(acc["lacks"]).alias("lacks"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    by_size = F.transform(F.sort_array(F.transform("done", lambda x: F.struct(x["size"].alias("size"), x["row"].alias("row"), x["up"].alias("up"))), False), lambda x: _verdict(x, x["up"]))
-    start = F.struct(F.col("lacks"), F.slice("done", 1, 0).alias("out"))
-    return others.unionByName(rows.select(F.aggregate(by_size, start, turn)["out"].alias("done")))
+
+def _fold(live: DataFrame, by: list[str], seed: int, level: int) -> DataFrame:
+    """The items (h, row, size, m) of each group folded: ``f.carry`` is undecided, ``f.done`` are verdicts.  Pinned."""
+    grouped = live.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("h", "row", "size", "m"))).alias("items"))
+    nothing = F.slice(F.array(_verdict(F.expr("items[0]"), F.lit(False))), 1, 0)
+    start = F.struct(F.expr("items[0]").alias("carry"), nothing.alias("done"))
+    return pin(grouped.select(*by, F.aggregate(F.slice("items", 2, F.size("items")), start, _meet(seed, level)).alias("f")))
+
+
+def _settled(long_: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """(t_source, fraction, done): the fraction that each source's long documents leave to the others, and their verdicts."""
+    items = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("least"), "h", "row", "size")))  # FINE at most
+    t = small(targets).select(F.col("source").alias("t_source"), "source_size", "target")
+    met = long_.groupBy("source").agg(items.alias("items")).join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    coin = lambda x, k: uniform(F.lit(seed), F.lit(k), x["h"])
+
+    def merge(acc: Column, x: Column) -> Column:
+        others = F.greatest(acc["others"] - x["size"], F.lit(0.0))
+        m, mass = x["size"] * acc["f"], others * acc["f"]
+        lacks, room = x["size"] - m, others - mass
+        gain, loss = F.least(lacks, mass), F.least(m, room)
+        wins = coin(x, -2) * (gain + loss) < loss
+        rest = m + F.when(wins, gain).otherwise(-loss)
+        up = F.when(wins & (lacks <= mass), True).when(~wins & (m <= room), False).otherwise(coin(x, -3) * x["size"] < rest)
+        f = F.when(others > 0, acc["f"] + F.when(wins, -gain).otherwise(loss) / others).otherwise(acc["f"])
+        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), f)).alias("f"), others.alias("others"), F.concat(acc["done"], F.array(_verdict(x, up))).alias("done"))
+
+    per = F.col("target") / F.col("source_size")
+    nothing = F.slice(F.array(_verdict(F.expr("items[0]"), F.lit(False))), 1, 0)
+    start = F.struct((per - F.floor(per)).alias("f"), F.col("source_size").cast("double").alias("others"), nothing.alias("done"))
+    return pin(met.select("t_source", F.aggregate("items", start, merge).alias("s")).select("t_source", F.col("s.f").alias("fraction"), "s.done"))
 
 
 def plan(items: DataFrame, epochs: float = 1.5, weights: Sequence[float] = (5, 2, 1), cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """``items`` (doc_id, rk, source, size, n) with source_size, target and copies; n equal rows share one decision."""
+    """Of ``items`` (doc_id, rk, source, size, n) each of the n equal rows, with source_size, target and copies."""
     items = pin(items)
+    total, most = items.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     targets = pin(source_targets(items.select("source", (F.col("size") * F.col("n")).alias("size")), epochs, weights, cap))
     t = small(targets).withColumnRenamed("source", "t_source")
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = items.join(t, F.col("source").eqNullSafe(F.col("t_source")), "inner").drop("t_source")
+    rows = _times(items, "n", "nth", most > CHUNK).drop("n").join(t, F.col("source").eqNullSafe(F.col("t_source")), "inner").drop("t_source")
     rows = rows.withColumn("sure", F.floor(per)).withColumn("part", per - F.floor(per))
-    keep = [*items.columns, "source_size", "target", "sure"]
+    keep = [*[c for c in items.columns if c != "n"], "source_size", "target", "sure"]
     known = rows.where((F.col("part") == 0) | (F.col("size") == 0)).select(*keep, F.lit(False).alias("up"))
-    words = (F.col("size") * F.col("n")).cast("double")
     live = rows.where((F.col("part") > 0) & (F.col("size") > 0)).select(
         "source",
-        F.xxhash64(F.lit(seed), "doc_id", "rk").alias("h"),
+        F.xxhash64(F.lit(seed), "doc_id", "rk", "nth").alias("h"),
         F.struct(*keep).alias("row"),
-        words.alias("size"),
-        (words * F.col("part")).alias("m"),
+        F.col("size").cast("double").alias("size"),
+        (F.col("size") * F.col("part")).alias("m"),
+        (F.col("size") * FINE > F.col("source_size")).alias("long"),
     )
-    blocks = max(1, -(-items.count() // FAN_IN))
+    settled = _settled(live.where("long"), targets, seed)
+    left = small(settled.select("t_source", "fraction"))
+    live = live.where("not long").drop("long").join(left, F.col("source").eqNullSafe(F.col("t_source")), "left")
+    live = live.withColumn("m", F.coalesce(F.col("size") * F.col("fraction"), "m")).drop("t_source", "fraction")
+    blocks, level = max(1, -(-total // FAN_IN)), 0
     live = live.withColumn("block", F.pmod("h", F.lit(blocks)))
-    done, level, leaves = [known], 0, None
+    done = [known, settled.select(F.inline("done")).select("row.*", "up")]
     while True:
-        grouped = live.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("h", "row", "size", "m"))).alias("items"))
-        nothing = F.slice(F.array(_verdict(F.expr("items[0]"), F.lit(False))), 1, 0)
-        start = F.struct(F.expr("items[0]").alias("carry"), nothing.alias("done"))
-        folded = pin(grouped.select("source", "block", F.aggregate(F.slice("items", 2, F.size("items")), start, _meet(seed, level)).alias("f")))
-        leaves = folded if leaves is None else leaves
-        if level:
-            done.append(folded.select(F.inline("f.done")).select("row.*", "up"))
+        folded = _fold(live, ["source", "block"], seed, level)
+        done.append(folded.select(F.inline("f.done")).select("row.*", "up"))
         if blocks == 1:
             break
         blocks, level = -(-blocks // FAN_IN), level + 1
         live = folded.select("source", "f.carry.*", F.expr(f"block div {FAN_IN}").alias("block"))
     last = folded.select("source", "f.carry.*").withColumn("up", uniform(F.lit(seed), F.lit(-1), F.col("h")) * F.col("size") < F.col("m"))
-    done.append(last.select("row.*", "up"))
-    done.append(_trimmed(leaves, last).select(F.inline("done")).select("row.*", "up"))
-    out = done[0]
-    for d in done[1:]:
+    out = last.select("row.*", "up")
+    for d in done:
         out = out.unionByName(d)
     return out.withColumn("copies", F.col("sure") + F.col("up").cast("long")).drop("sure", "up")
 
 
+def _items(docs: DataFrame, text: str, source: str) -> DataFrame:
+    items = docs.select("doc_id", row_hash(docs).alias("rk"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    return items.groupBy("doc_id", "rk", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; columns as before."""
-    items = docs.select("doc_id", row_hash(docs).alias("rk"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    items = items.groupBy("doc_id", "rk", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-    chosen = plan(items, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_r"), F.col("copies").cast("int").alias("copies"))
-    out = boxed(docs).join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "inner")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    chosen = plan(_items(docs, text, source), **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_r")).agg(F.sum("copies").alias("copies"))
+    chosen = pin(chosen)
+    most = chosen.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0]
+    out = boxed(docs).dropDuplicates(["id", "rk"]).join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "inner")
+    return _times(out.select("row", "copies"), "copies", "nth", most > CHUNK).select("row.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target of its source, and the words taken of it."""
-    rows = docs.select("doc_id", row_hash(docs).alias("rk"), "source", word_count(F.col("text")).alias("size"), F.lit(1).cast("long").alias("n"))
-    return plan(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    chosen = plan(_items(docs, "text", "source"))
+    return chosen.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
