@@ -1,78 +1,90 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by a key: the hash of the text, then a hash of the row.  Equal texts are neighbours.  The splitters are
-found without sorting: each round counts, exactly and over all rows, the bytes and rows in every cell of a grid of
-candidate keys, 2**``STEP`` cells for each splitter that isn't settled, and the next round refines the cell in which a
-splitter must lie.  A splitter is settled when a cell's edge is within ``tolerance`` x the shard's size of its place.
-Then the rows are exchanged once, by range, and numbered.
-
-A group of equal texts stays in one shard as long as an edge between groups is near enough; a larger one is cut at the
-row hash, so that a text with a third of all rows can't fill one shard.  Ranges are finer than shards (``PARTS`` each at
-least), so no task sorts a shard alone.
-
-Defined results: null text has no bytes, size 1 and the crc32 of nothing; rows that are alike in all columns stay
-together; an empty table gives an empty result; extra columns are ignored by :func:`assign`.
+Rows are ordered by a key: the hash of the text, then a hash of the row and its number.  Equal texts are neighbours, and
+no two rows have equal keys.  The splitters are found without sorting: each round counts, exactly and over all rows, the
+bytes and rows in every cell of a grid of candidate keys, and the next round refines the cells in which a splitter must
+lie by 2**``STEP`` cells each.  A splitter is settled when a cell's edge is within ``tolerance`` x the shard's size of its
+place.  Then the rows are exchanged once, by range, and numbered.
+
+A group of equal texts stays in one shard unless a splitter's place lies within it; then it is cut at the row hash, so
+neither a text nor a row that makes up a third of all can fill one shard.  Ranges are finer than shards, as many as
+``RANGE_BYTES`` asks for, so no task sorts a shard alone; the edges between a shard's ranges may be off by half a range.
+
+Defined results: null text has no bytes, size 1 and the crc32 of nothing; rows that are alike in all columns are numbered
+and may be cut apart; an empty table gives an empty result; extra columns are ignored by :func:`assign`.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import pin, row_hash
+from weft.llm.common import pin, pin_table, row_hash
 
 #: Bits of the key that each round adds; the two halves of the key have HALF bits each.
 STEP, HALF = 10, 60
-CELLS = 1 << STEP
-#: Ranges of a shard: as many as PART_BYTES asks for, within these bounds.  All splitters are held by the driver.
-PART_BYTES, PARTS_MIN, PARTS_MAX = 64 << 20, 4, 64
+#: Ranges: as many as RANGE_BYTES asks for, RANGES at most and PARTS a shard at least.  All edges are held by the driver.
+RANGE_BYTES, RANGES, PARTS = 64 << 20, 1 << 16, 4
+#: Bytes of a row without its text.
+NARROW = 64
+
+
+def _levels(ranges: int) -> list[int]:
+    """Bits of the key in each round.  The first grid is fine enough for the edges between ranges, 2**18 cells at most."""
+    first = max(STEP, (2 * ranges).bit_length())
+    return [*range(first, HALF, STEP), *range(HALF, 2 * HALF + 1, STEP)]
 
 
-def _key(level: int) -> list[Column]:
-    """The key's first ``level`` x STEP bits as two numbers."""
-    first, second = min(level * STEP, HALF), max(0, level * STEP - HALF)
+def _key(bits: int) -> list[Column]:
+    """The key's first ``bits`` bits as two numbers."""
+    first, second = min(bits, HALF), max(0, bits - HALF)
     return [F.shiftright("a", HALF - first), F.shiftright("b", HALF - second)]
 
 
-def _edge(level: int, cell: tuple[int, int]) -> tuple[int, int]:
+def _edge(bits: int, cell: tuple[int, int]) -> tuple[int, int]:
     """The smallest key of a cell."""
-    first, second = min(level * STEP, HALF), max(0, level * STEP - HALF)
+    first, second = min(bits, HALF), max(0, bits - HALF)
     return cell[0] << (HALF - first), cell[1] << (HALF - second)
 
 
-def _after(level: int, cell: tuple[int, int]) -> tuple[int, int]:
+def _after(bits: int, cell: tuple[int, int]) -> tuple[int, int]:
     """The smallest key above a cell."""
-    return _edge(level, (cell[0], cell[1] + 1) if level * STEP > HALF else (cell[0] + 1, 0))
+    return _edge(bits, (cell[0], cell[1] + 1) if bits > HALF else (cell[0] + 1, 0))
 
 
-def splitters(rows: DataFrame, places: list[float], shard_bytes: float, tolerance: float, group_tolerance: float) -> list[tuple[tuple[int, int], int]]:
-    """For each place, in bytes below it, a key and the number of rows below that key.
+def splitters(rows: DataFrame, places: list[tuple[float, float]], levels: list[int]) -> list[tuple[tuple[int, int], int]]:
+    """For each place, (bytes below it, how far off it may be), a key and the number of rows below that key.
 
-    ``rows`` (a, b, size) is counted once a round; the driver gets CELLS counts for each splitter that is left.
+    ``rows`` (a, b, size) is counted once a round.  The driver gets the first grid, then 2**STEP counts for each cell that
+    holds a splitter that is left.
     """
     found: dict[int, tuple[tuple[int, int], int]] = {}
     active = {(0, 0): (0, 0, list(range(len(places))))}  # cell: bytes and rows below it, the splitters in it
-    for level in range(1, 2 * HALF // STEP + 1):
+    for number, bits in enumerate(levels):
         if not active:
             break
-        parent, child = _key(level - 1), _key(level)
+        parent, child = _key(levels[number - 1] if number else 0), _key(bits)
         cut = rows.select(parent[0].alias("pa"), parent[1].alias("pb"), child[0].alias("ca"), child[1].alias("cb"), "size")
-        if level > 1:
+        if number:
             cells = rows.sparkSession.createDataFrame(list(active), "pa long, pb long")
             cut = cut.join(F.broadcast(cells), ["pa", "pb"])  # at most one row for each splitter
         counts = cut.groupBy("pa", "pb", "ca", "cb").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
         within: dict[tuple[int, int], list] = {}
         for r in sorted(counts, key=lambda r: (r.ca, r.cb)):
             within.setdefault((r.pa, r.pb), []).append(((r.ca, r.cb), r.bytes, r.n))
-        near = (group_tolerance if level * STEP == HALF else tolerance) * shard_bytes
         onward: dict[tuple[int, int], tuple[int, int, list[int]]] = {}
         for cell, (low, n_low, wanted) in active.items():
+            todo = sorted(wanted, key=lambda k: places[k][0], reverse=True)
             for cell_in, size, n in within.get(cell, []):
                 high, n_high = low + size, n_low + n
-                for k in [k for k in wanted if low <= places[k] < high]:
-                    if min(places[k] - low, high - places[k]) <= near or level == 2 * HALF // STEP:
-                        at_low = places[k] - low <= high - places[k]
-                        found[k] = (_edge(level, cell_in), n_low) if at_low else (_after(level, cell_in), n_high)
+                while todo and places[todo[-1]][0] < high:
+                    k = todo.pop()
+                    place, near = places[k]
+                    if min(place - low, high - place) <= near or bits == levels[-1]:
+                        at_low = place - low <= high - place
+                        found[k] = (_edge(bits, cell_in), n_low) if at_low else (_after(bits, cell_in), n_high)
                     else:
                         onward.setdefault(cell_in, (low, n_low, []))[2].append(k)
                 low, n_low = high, n_high
@@ -80,32 +92,34 @@ def splitters(rows: DataFrame, places: list[float], shard_bytes: float, toleranc
     return [found[k] for k in range(len(places))]
 
 
-def assign(docs: DataFrame, keep: list[str], shards: int = 8, text: str = "text", tolerance: float = 0.002, group_tolerance: float = 0.05) -> DataFrame:
+def assign(docs: DataFrame, keep: list[str], shards: int = 8, text: str = "text", tolerance: float = 0.002) -> DataFrame:
     """The columns ``keep`` of every row with its size in bytes, shard and slot.  Rows lie by (shard, slot)."""
     blank = F.coalesce(F.col(text), F.lit(""))
     hashed = lambda *cols: F.shiftrightunsigned(F.xxhash64(*cols), 64 - HALF)
-    keyed = docs.select(*keep, (F.octet_length(blank) + 1).cast("long").alias("size"), hashed(blank).alias("a"), F.shiftrightunsigned(row_hash(docs), 64 - HALF).alias("b"))
-    if text in keep:
-        rows = pin(keyed.select("a", "b", "size"))
-    else:
-        rows = keyed = pin(keyed)
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = min(PARTS_MAX, max(PARTS_MIN, -(-total // (shards * PART_BYTES))))
-    edges = splitters(rows, [total * k / (shards * parts) for k in range(1, shards * parts)], total / shards, tolerance, group_tolerance) if total else []
-    starts = [((0, 0), 0)] + edges
-    table = [(k, e[0], e[1], k // parts, n - starts[k // parts * parts][1]) for k, (e, n) in enumerate(starts)]
+    # the rows' numbers are fixed once they are written
+    keyed = docs.select(*keep, (F.octet_length(blank) + 1).cast("long").alias("size"), hashed(blank).alias("a"), hashed(row_hash(docs), F.monotonically_increasing_id()).alias("b"))
+    keyed = pin_table(keyed) if text in keep else pin(keyed)
+    rows = keyed.select("a", "b", "size")
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    moved = n * NARROW + total * (text in keep)
+    parts = max(PARTS, min(RANGES // shards, -(-moved // (shards * RANGE_BYTES))))
+    levels = _levels(shards * parts)
+    part, shard = total / (shards * parts), total / shards
+    places = [(part * k, part / 2 if k % parts else min(part / 2, shard * tolerance)) for k in range(1, shards * parts)]
+    edges = splitters(rows, places, levels) if total else []
+    starts = [((0, 0), 0), *edges]  # in order, as none is off by more than half a range
+    table = [(k, e[0], e[1], k // parts, m - starts[k // parts * parts][1]) for k, (e, m) in enumerate(starts)]
     # the ranges that begin in each cell of the first round's grid, and the one that holds before them
-    grid = []
-    for cell in range(CELLS):
-        low, high = cell << (HALF - STEP), (cell + 1) << (HALF - STEP)
-        inside = [(t[1], t[2]) for t in table if low <= t[1] < high]
-        grid.append((cell, sum(t[1] < low for t in table) - 1, inside))
+    begins, grid = [t[1] for t in table], []
+    for cell in range(1 << levels[0]):
+        i, j = (bisect_left(begins, c << (HALF - levels[0])) for c in (cell, cell + 1))
+        grid.append((cell, i - 1, [(t[1], t[2]) for t in table[i:j]]))
     spark = docs.sparkSession
     g = spark.createDataFrame(grid, "cell long, base int, inside array<struct<a:long,b:long>>")
     own = F.filter("inside", lambda e: (e["a"] < F.col("a")) | ((e["a"] == F.col("a")) & (e["b"] <= F.col("b"))))
-    ranged = keyed.withColumn("cell", F.shiftright("a", HALF - STEP)).join(F.broadcast(g), "cell").withColumn("range", F.col("base") + F.size(own))
+    ranged = keyed.withColumn("cell", F.shiftright("a", HALF - levels[0])).join(F.broadcast(g), "cell").withColumn("range", F.col("base") + F.size(own))
     t = spark.createDataFrame([(x[0], x[3], x[4]) for x in table], "range int, shard int, first long")
-    order = Window.partitionBy("range").orderBy("a", "b", *[c for c in keep if c != text])
+    order = Window.partitionBy("range").orderBy("a", "b")
     numbered = ranged.withColumn("nth", F.row_number().over(order)).join(F.broadcast(t), "range")
     return numbered.select(*keep, "size", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))
 
