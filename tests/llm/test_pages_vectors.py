@@ -73,6 +73,17 @@ def test_few_and_odd_vectors(spark):
     assert ann.op2(df.limit(0)).count() == 0
 
 
+def test_rows_with_one_id_ask_and_answer_each(spark):
+    """Two rows with id 50 that differ, two that are equal, and a hot vector: each row gets its own answer."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    got = [tuple(r) for r in ann.op2(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    assert sorted(r[:2] for r in got) == sorted((q, k) for q in (50, 50, 100, 100) for k in range(1, 6))
+    assert sorted(r[2] for r in got if r[:2] == (50, 1)) == [1, 2] and [r[2] for r in got if r[:2] == (100, 1)] == [100, 100]
+    hot = [(7, [1.0, 2.0, 3.0])] * 1000 + [(50, [1.0, 2.0, 2.5]), *((i, [float(i), 1.0, 0.0]) for i in range(51, 99))]
+    got = ann.op2(spark.createDataFrame(hot, "vec_id long, embedding array<float>")).collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(50, 7)] * 5
+
+
 def test_equal_vectors_go_to_smaller_ids(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 8))
