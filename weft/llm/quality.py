@@ -16,7 +16,7 @@ none gains by that count or is certified, as in strata without labels, the rule
 
 Defined results: null text has no words and fails the base rules; null strata are a stratum of their own; labels of
 unknown documents are ignored, and of conflicting labels the worst counts; a document listed twice is judged
-twice; extra columns are ignored; an empty table gives an empty result.
+twice, but its label counts once; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,6 +101,8 @@ def certified(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float
     """(stratum, rule, cutoff, n, k, bad) of the best certified cutoffs; at most one row for a stratum and rule."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     held = measured.where(~F.col("base_failed")).join(known, "doc_id")
+    # a label is one trial, however often its document is repeated: of different rows with its doc_id, that of least hash
+    held = held.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in held.columns if c != "doc_id"]), F.xxhash64(*measured.columns)).alias("x")).select("x.*")
     reached = [
         F.struct(F.lit(name).alias("rule"), sum(F.when(F.expr(of) >= c, 1).otherwise(0) for c in cutoffs).alias("depth"))
         for name, (of, cutoffs) in RULES.items()
