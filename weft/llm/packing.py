@@ -3,14 +3,14 @@
 A document is its ids and the end id.  Whole windows are cut off its front; the rest is placed online: of all fill levels
 where it fits, and a new window, it goes to the one after which the sum over levels of (number of windows at that level)
 squared is smallest, ties to the fullest.  The level array holds those numbers, so a placement looks at no window.
-What is still open at the end of a partition is laid end to end and cut into windows, so a partition has one window with
-padding at most.
+What is still open at the end of a partition, or when the open windows hold more than ``HELD`` ids, is laid end to end and
+cut into windows, so there is one window with padding for each HELD ids at most, and memory is bounded whatever the sizes.
 
 One pass over the partitions, no shuffle: a window holds documents of one partition.  A lost task is packed again in the
 same way from the same partition, if the input's partitions are stable, as those of a scan are.
 
 Defined results: null or empty text is the end id alone; repeated rows are packed each; an empty table gives no pieces;
-of extra columns none is used.  Ids of open windows are held in memory, at most one window's for each (level, place).
+of extra columns none is used.  A very long text is tokenized as a whole and its ids leave in whole windows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from weft.llm.vocab import Vocabulary, default_path
 
 WINDOW, END = 2048, 1
+#: Ids that open windows hold together.
+HELD = 16 << 20
 #: Bytes of text that are tokenized at once.
 SLICE = 4 << 20
 
@@ -41,6 +43,7 @@ class Packer:
         self.count = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
         self.full: list[list] = []
+        self.held = 0
 
     def _level(self, size: int) -> int:
         """The level to place ``size`` ids at; 0 is a new window."""
@@ -62,8 +65,10 @@ class Packer:
             pieces = self.open[level].pop()
             self.count[level] -= 1
         pieces.append(piece)
+        self.held += size
         if level + size == self.window:
             self.full.append(pieces)
+            self.held -= self.window
         else:
             self.open[level + size].append(pieces)
             self.count[level + size] += 1
@@ -74,6 +79,8 @@ class Packer:
             self.full.append([(doc, start, ids[start : start + self.window], len(ids))])
         if whole < len(ids):
             self.place((doc, whole, ids[whole:], len(ids)))
+            if self.held > HELD:
+                self.finish()
 
     def finish(self) -> None:
         """Closes the open windows, fullest first, cutting pieces where a window ends."""
@@ -88,6 +95,9 @@ class Packer:
                         room, pieces = self.window, []
         if pieces:
             self.full.append(pieces)
+        self.open.clear()
+        self.count[:] = 0
+        self.held = 0
 
 
 def pack(docs: DataFrame, text: str = "text", vocabulary: str | None = None, window: int = WINDOW, end: int = END, with_ids: bool = True) -> DataFrame:
