@@ -1,4 +1,8 @@
-"""Connected components of a distributed link table by alternating stars."""
+"""Connected components of a distributed link table by alternating stars.
+
+A hub with very many neighbours is no hot key: joins on a node are dealt over ``SALTS`` tasks by the neighbour.  No links
+give no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +11,27 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import pin
 
+#: Tasks that the rows of one key are dealt over.
+SALTS = 16
+
+
+def salted(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``one``, a row for each ``key``, which is repeated SALTS times to meet ``rows`` dealt by ``by``."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "_salt"]).drop("_salt")
+
 
 def _large(e: DataFrame) -> DataFrame:
     """Each node hands its smallest neighbour (or itself) to its larger neighbours."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return salted(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = salted(e, least, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 

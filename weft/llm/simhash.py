@@ -5,13 +5,15 @@ fingerprints are folded first, so a group of copies is one fingerprint from then
 most ``RADIUS`` = 4 bits differ.  The bits are cut into segments of 21, 21 and 22.  If the first two segments each differ
 in two bits or more and the last in one or more, that makes 5: so linked fingerprints differ by at most one bit in one of
 the first two segments, or agree in the last.  Hence each fingerprint enters one table per segment under its own value,
-and for the first two also probes the Hamming ball of radius 1 - only the flips of a 0 bit, as the other side makes the
-same flip where the bit is 1.  Everything that meets under a value is verified over all 64 bits.
+and for the first two also probes the Hamming ball of radius 1 - only the flips to a larger value, as the other side makes
+the same flip back.  Everything that meets under a value is verified over all 64 bits.  From ``WIDE`` fingerprints on,
+tables of 21 bits would be crowded, and two segments of 32 bits with radii 2 and 1 take their place: as 3 + 2 makes 5,
+they find the same links with more probes of far fewer entries.
 
 A value's meetings are searched without listing all pairs: small ones by comparing rows at growing distance, larger ones
 by spreading from one fingerprint to all unvisited ones, which yields a spanning forest of the links.  Only links that
-join something new within a task leave it; components need no more.  A value with very many fingerprints is dealt out in
-pairs of blocks over many tasks.
+join something new within a task leave it; components need no more.  A value with more than ``BLOCK`` entries is dealt out
+in pairs of blocks over many tasks.
 
 Defined results: no words (null, empty, blanks) give fingerprint 0, linked like any other; fewer words than a shingle make
 one shingle; repeated rows fall into one component; a null doc_id never names a component that has another id; an empty
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.common import boxed, computed, pin, row_hash, small
-from weft.llm.components import components
+from weft.llm.components import components, salted
 
 RADIUS = 4
-#: Shift, bits and radius of each segment.
-SEGMENTS = ((43, 21, 1), (22, 21, 1), (0, 22, 0))
-#: Fingerprints under one value that one task searches.
+#: Shift, bits and radius of each segment: for few and for many fingerprints, and where the latter begin.
+SEGMENTS, WIDE_SEGMENTS = ((43, 21, 1), (22, 21, 1), (0, 22, 0)), ((32, 32, 2), (0, 32, 1))
+WIDE = 30_000_000
+#: Entries under one value that one task searches.
 BLOCK = 16_384
 
 
@@ -66,17 +69,30 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle:
     return computed(rows, ["_text"], [T.StructField("fp", T.LongType())], [pa.int64()], run, ("_text",))
 
 
-def _values(fp: Column) -> Column:
-    """(key, own) for each segment: the own value, and those one 0 bit away.  The key has the segment's number in front."""
-    out = []
-    for number, (shift, bits, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned(fp, shift).bitwiseAND((1 << bits) - 1)
-        key = value + (number << 22)
-        out.append(F.array(F.struct(key.alias("key"), F.lit(True).alias("own"))))
+def _masks(bits: int, radius: int) -> list[tuple[int, int]]:
+    """(flips, highest of them) within the ball, without the middle."""
+    out, last = [], [(1 << b, 1 << b) for b in range(bits)]
+    for r in range(radius):
+        if r:
+            last = [(m | 1 << b, 1 << b) for m, top in last for b in range(top.bit_length(), bits)]
+        out += last
+    return out
+
+
+def _keys(fp: Column, segments: tuple) -> list[Column]:
+    """The own value in each segment, with the segment's number in front."""
+    return [F.shiftrightunsigned(fp, shift).bitwiseAND((1 << bits) - 1) + (number << 32) for number, (shift, bits, _) in enumerate(segments)]
+
+
+def _larger(key: Column, segments: tuple) -> Column:
+    """The keys in the ball around a key that are larger than it: those whose highest flip sets a bit."""
+    out = F.array().cast("array<bigint>")
+    for number, (_, bits, radius) in enumerate(segments):
         if radius:
-            flips = [F.struct((key + (1 << b)).alias("key"), F.lit(False).alias("own"), value.bitwiseAND(1 << b).alias("set")) for b in range(bits)]
-            out.append(F.transform(F.filter(F.array(*flips), lambda x: x["set"] == 0), lambda x: F.struct(x["key"].alias("key"), x["own"].alias("own"))))
-    return F.concat(*out)
+            masks = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(top).cast("long").alias("top")) for m, top in _masks(bits, radius)])
+            near = F.transform(F.filter(masks, lambda x: key.bitwiseAND(x["top"]) == 0), lambda x: key.bitwiseXOR(x["m"]))
+            out = F.when(F.shiftrightunsigned(key, 32) == number, near).otherwise(out)
+    return out
 
 
 class _Forest:
@@ -118,9 +134,10 @@ def _spread(fp: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search(keys: np.ndarray, own: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links among rows sorted by key; every key is whole."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+def _search(new: np.ndarray, own: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links among rows in order; ``new`` marks where another value begins, and every value is whole."""
+    keys = np.cumsum(new)
+    starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(keys)))
     useful = (sizes > 1) & (np.add.reduceat(own.astype(np.int64), starts) > 0)
     for s, n in zip(starts[useful & (sizes > 48)], sizes[useful & (sizes > 48)], strict=True):
@@ -139,31 +156,31 @@ def _search(keys: np.ndarray, own: np.ndarray, fps: np.ndarray) -> Iterator[tupl
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that connect all that is within RADIUS."""
-    n = distinct.count()
-    entries = distinct.select("fp", F.inline(_values(F.col("fp")))).withColumn("pair", F.lit(0))
-    own = [F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1) + (number << 22) for number, (shift, bits, _) in enumerate(SEGMENTS)]
-    limit = max(BLOCK, n // 1000)  # so at most 3,000 values are above it
-    many = distinct.select(F.explode(F.array(*own)).alias("key")).groupBy("key").count().where(F.col("count") > limit)
-    many = many.select("key", F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
-    # what has a frequent value also probes its neighbours in numbers
-    around = [many] + [many.select((F.col("key").bitwiseOR(1 << b)).alias("key"), "blocks") for b in range(22)]
-    hot = around[0]
-    for a in around[1:]:
-        hot = hot.unionByName(a)
-    hot = pin(hot.groupBy("key").agg(F.sum("blocks").alias("blocks")))
+    segments = SEGMENTS if distinct.count() < WIDE else WIDE_SEGMENTS
+    own = distinct.select("fp", F.explode(F.array(*_keys(F.col("fp"), segments))).alias("value"))
+    probes = _larger(F.col("value"), segments)
+    entries = own.select("fp", F.lit(0).alias("pair"), F.posexplode(F.concat(F.array("value"), probes)).alias("at", "key")).withColumn("own", F.col("at") == 0).drop("at")
+    # values with many entries: own ones, and those of the many that have a value around it; what is too few here to be
+    # counted adds up to BLOCK at most
+    ball = 1 + max(len(_masks(bits, radius)) for _, bits, radius in segments)
+    many = own.groupBy(F.col("value")).count().where(F.col("count") > BLOCK // ball)
+    hot = many.select("count", F.explode(F.concat(F.array("value"), _larger(F.col("value"), segments))).alias("key"))
+    hot = pin(hot.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") > BLOCK).select("key", F.expr(f"ceil(n / {BLOCK})").alias("blocks")))
     if not hot.isEmpty():
         entries = entries.join(small(hot, 70_000), "key", "left")
         block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (F.least(block, j) * 1_000_000 + F.greatest(block, j) + 1).cast("int"))
-        entries = entries.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs))).drop("blocks")
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(block, j) * F.lit(1 << 31) + F.greatest(block, j) + 1)
+        entries = entries.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest, rest = _Forest(), None
 
         def found(b: pd.DataFrame) -> pd.DataFrame:
-            keys = b["key"].to_numpy(np.int64) * np.int64(1 << 38) + b["pair"].to_numpy(np.int64)
-            new = [x for x in _search(keys, b["own"].to_numpy(bool), b["fp"].to_numpy(np.int64)) if forest.join(*x)]
-            return pd.DataFrame(np.array(new, np.int64).reshape(-1, 2), columns=["a", "b"])
+            keys, pairs = b["key"].to_numpy(np.int64), b["pair"].to_numpy(np.int64)
+            begins = np.ones(len(b), bool)
+            begins[1:] = (keys[1:] != keys[:-1]) | (pairs[1:] != pairs[:-1])
+            joined = [x for x in _search(begins, b["own"].to_numpy(bool), b["fp"].to_numpy(np.int64)) if forest.join(*x)]
+            return pd.DataFrame(np.array(joined, np.int64).reshape(-1, 2), columns=["a", "b"])
 
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
@@ -183,10 +200,13 @@ def groups(fps: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) ->
     ident = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")
     distinct = pin(fps.groupBy("fp").agg(F.min(ident).alias("first")))
     roots = components(linked(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = pin(distinct.join(roots, "fp", "left"))
+    alone = rooted.where("root is null").select("fp", "first")
+    rooted = rooted.where("root is not null")
+    # a component may hold very many fingerprints: its rows are dealt over SALTS tasks
     tops = rooted.groupBy("root").agg(F.min("first").alias("top"))
-    named = rooted.select("fp", "root").join(tops, "root").select("fp", F.col("top").alias("first"))
-    return fps.join(named, "fp")
+    named = salted(rooted.select("fp", "root"), tops, "root", "fp").select("fp", F.col("top").alias("first"))
+    return fps.join(alone.unionByName(named), "fp")
 
 
 def _fps(docs: DataFrame, text: str, shingle: int) -> DataFrame:
