@@ -9,16 +9,17 @@ Learning is expectation-maximisation over all labelled training text: words are
 costs the distinct words only; each pass returns expected piece counts, at most vocabulary x languages numbers, which are
 all the driver ever sees.
 
-Words are maximal runs of letters, in lower case; longer ones than ``LONGEST`` are cut into runs of that length.
+Words are maximal runs of letters with their combining marks, in lower case, of any length: words of like length are
+computed together, and one of more than ``LONG`` characters alone and piece by piece of itself.
 
 Defined results: ``und`` with score 0 for null text, text without letters, or if nothing was learned; ties go to the
-language that sorts first; rows without language or doc_id are never learned from; repeated rows count repeatedly; an
-empty table gives an empty result; extra columns are ignored.
+language that sorts first; rows without language or doc_id are never learned from; more than ``LANGUAGES`` different
+languages are refused, as the model is a table of pieces and languages; repeated rows count repeatedly; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,20 +27,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import pin
 from weft.llm.vocab import worker_store
 
-LONGEST = 40
+LONG, LANGUAGES = 256, 500
 PASSES = 2
 SMOOTH = 0.05
 SLICE = 4 << 20
 #: Words less probable than this, in any language, are computed in logarithms.
 TINY = 1e-250
 REMEMBERED = 700_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers of one array: lattice nodes x languages, and remembered parts x languages.
+CELLS, KNOWN = 2 << 20, 8 << 20
+#: Characters of a long word whose lattice is held at once.
+REACH = 1 << 14
+_WORD = regex.compile(r"(?:\p{L}\p{M}*)+")
 
 
 def pieces_of(path: str | None = None) -> list[str]:
@@ -63,6 +69,7 @@ class Lattices:
         for p, i in self.id.items():
             self.finder.add_word(p, i << 8 | len(p))
         self.finder.make_automaton()
+        self.widest = max(map(len, pieces))
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows (word, from, to, piece) ordered by (to, word), and the last node of each word."""
@@ -141,35 +148,116 @@ class Lattices:
         cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
         return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(nodes) else []
 
+    @staticmethod
+    def _batches(words: list[str], columns: int) -> Iterator[np.ndarray]:
+        """Places of the words, those of like length together; a long word comes alone."""
+        length = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(length, kind="stable")
+        at = 0
+        while at < len(order):
+            # as many as have room with the longest of them, which is found from a first guess
+            n = max(1, min(20_000, CELLS // ((int(length[order[at]]) + 2) * columns)))
+            while n > 1 and n * (int(length[order[min(at + n, len(order)) - 1]]) + 2) * columns > CELLS:
+                n //= 2
+            if length[order[at]] > LONG:
+                n = 1
+            else:
+                n = min(n, int(np.searchsorted(length[order], LONG, "right")) - at)
+            yield order[at : at + n]
+            at += n
+
+    def _reaches(self, word: str, back: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]]:
+        """A long word's edges reach by reach: (first node, from, to, piece, strange), ordered by ``to``.  A character
+        without a piece is one edge of piece -1; ``strange`` has its bytes' pieces by its place."""
+        s = "▁" + word
+        for lo in sorted(range(0, len(s), REACH), reverse=back):
+            hi = min(lo + REACH, len(s))
+            start = max(0, lo - self.widest)
+            hits = np.array(list(self.finder.iter(s[start:hi])), np.int64).reshape(-1, 2)
+            to = hits[:, 0] + 1 + start
+            from_, piece = to - (hits[:, 1] & 255), hits[:, 1] >> 8
+            strange = {i: [self.byte[b] for b in s[i].encode("utf-8", "surrogatepass")] for i in range(lo, hi) if s[i] not in self.id}
+            own = np.array(list(strange), np.int64)
+            from_, to, piece = np.concatenate((from_, own)), np.concatenate((to, own + 1)), np.concatenate((piece, np.full(len(own), -1)))
+            keep = np.flatnonzero(to > lo)
+            keep = keep[np.argsort(to[keep], kind="stable")]
+            yield lo, from_[keep], to[keep], piece[keep], strange
+
+    @staticmethod
+    def _edge_logs(log_p: np.ndarray, from_: np.ndarray, piece: np.ndarray, strange: dict[int, list[int]]) -> np.ndarray:
+        out = log_p[piece]
+        for i in np.flatnonzero(piece < 0).tolist():
+            out[i] = log_p[strange[int(from_[i])]].sum(axis=0)
+        return out
+
+    def long_likelihood(self, word: str, log_p: np.ndarray) -> np.ndarray:
+        """[language]: the logarithm of a long word's probability; the last ``widest`` nodes are all that is held."""
+        tail = np.full((self.widest, log_p.shape[1]), -np.inf)
+        tail[-1] = 0
+        for lo, from_, to, piece, strange in self._reaches(word):
+            flow = self._edge_logs(log_p, from_, piece, strange)
+            alpha = np.concatenate((tail, np.full((int(to[-1]) - lo, log_p.shape[1]), -np.inf)))
+            shift = self.widest - 1 - lo  # node -> row
+            for a, z in self._levels(to):
+                alpha[to[a] + shift] = np.logaddexp.reduce(alpha[from_[a:z] + shift] + flow[a:z], axis=0)
+            tail = alpha[-self.widest :]
+        return tail[-1]
+
+    def long_expected(self, word: str, weight: float, language: int, log_p: np.ndarray, out: np.ndarray) -> None:
+        """Adds a long word's expected uses to ``out``; holds two numbers for each character."""
+        n = len(word) + 1
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0
+        log_p = log_p[:, language : language + 1]
+        for _, from_, to, piece, strange in self._reaches(word):
+            flow = self._edge_logs(log_p, from_, piece, strange)[:, 0]
+            for a, z in self._levels(to):
+                alpha[to[a]] = np.logaddexp.reduce(alpha[from_[a:z]] + flow[a:z])
+        for _, from_, to, piece, strange in self._reaches(word, back=True):
+            flow = self._edge_logs(log_p, from_, piece, strange)[:, 0]
+            for a, z in reversed(self._levels(to)):
+                beta[from_[a:z]] = np.logaddexp(beta[from_[a:z]], beta[to[a]] + flow[a:z])
+            use = weight * np.exp(alpha[from_] + flow + beta[to] - alpha[n])
+            np.add.at(out, (piece[piece >= 0], language), use[piece >= 0])
+            for i in np.flatnonzero(piece < 0).tolist():
+                np.add.at(out, (strange[int(from_[i])], language), use[i])
+
     def log_likelihoods(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """[word, language]."""
-        out = [np.zeros((0, p.shape[1]))]
-        for i in range(0, len(words), 20_000):
-            e, last = self.edges(words[i : i + 20_000])
+        out = np.zeros((len(words), p.shape[1]))
+        for places in self._batches(words, p.shape[1]):
+            some = [words[i] for i in places.tolist()]
+            if len(some[0]) > LONG:
+                out[places] = self.long_likelihood(some[0], np.log(p))
+                continue
+            e, last = self.edges(some)
             z = self.forward(e, last, p[e[3]])[np.arange(len(last)), last]
             low = np.flatnonzero((z < TINY).any(axis=1))
             z = np.log(np.maximum(z, TINY))
             if len(low):
-                e, last = self.edges([words[i + k] for k in low])
+                e, last = self.edges([some[k] for k in low])
                 z[low] = self.log_pass(e, last, np.log(p[e[3]]))[np.arange(len(last)), last]
-            out.append(z)
-        return np.concatenate(out)
+            out[places] = z
+        return out
 
     def expected(self, words: list[str], weights: np.ndarray, language: np.ndarray, p: np.ndarray) -> np.ndarray:
         """[piece, language]: expected uses of each piece in the weighted words, each under its own language."""
         out = np.zeros(p.shape)
-        for i in range(0, len(words), 20_000):
-            e, last = self.edges(words[i : i + 20_000])
-            lang, n = language[i : i + 20_000], weights[i : i + 20_000]
+        for places in self._batches(words, 4):
+            some, lang, n = [words[i] for i in places.tolist()], language[places], weights[places]
+            if len(some[0]) > LONG:
+                self.long_expected(some[0], float(n[0]), int(lang[0]), np.log(p), out)
+                continue
+            e, last = self.edges(some)
             own = p[e[3], lang[e[0]]][:, None]
             alpha, beta = self.forward(e, last, own)[:, :, 0], self.backward(e, last, own)[:, :, 0]
             z = alpha[np.arange(len(last)), last]
             low = np.flatnonzero(z < TINY)
             share = np.where(z < TINY, 0, n / np.maximum(z, TINY))
             use = alpha[e[0], e[1]] * own[:, 0] * beta[e[0], e[2]] * share[e[0]]
-            np.add.at(out, (e[3], lang[e[0]]), use)
+            out += np.bincount(e[3] * p.shape[1] + lang[e[0]], use, minlength=p.size).reshape(p.shape)
             if len(low):
-                e, last = self.edges([words[i + k] for k in low])
+                e, last = self.edges([some[k] for k in low])
                 lang, n = lang[low], n[low]
                 own = np.log(p[e[3], lang[e[0]]])[:, None]
                 alpha, beta = self.log_pass(e, last, own)[:, :, 0], self.log_pass(e, last, own, back=True)[:, :, 0]
@@ -180,7 +268,7 @@ class Lattices:
 
 
 def words_in(part: str) -> list[str]:
-    return [w[i : i + LONGEST] for w in _WORD.findall(part) for i in range(0, len(w), LONGEST)]
+    return [part] if part.isalpha() else _WORD.findall(part)
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
@@ -229,7 +317,9 @@ def learn(docs: DataFrame, pieces: list[str], passes: int = PASSES) -> tuple[lis
     """The languages in order, and [piece, language] probabilities, from ``docs`` (text, lang) without null languages."""
     spark = docs.sparkSession
     counts = pin(word_counts(docs))
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # a row for each language
+    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different languages")
     p = np.full((len(pieces), len(langs)), 1 / len(pieces))
     for _ in range(passes if langs else 0):
         shared = spark.sparkContext.broadcast((pieces, p))
@@ -263,7 +353,7 @@ def predict(docs: DataFrame, keep: list[str], langs: list[str], p: np.ndarray, p
         names, probability, vocabulary = shared.value
         store = worker_store()
         if store.get("model") != tag:
-            store |= {"model": tag, "lattices": Lattices(vocabulary), "place": {}, "scores": np.zeros((0, len(names) + 1))}
+            store |= {"model": tag, "lattices": Lattices(vocabulary), "place": {}, "scores": np.zeros((1 << 12, len(names) + 1))}
         for b in batches:
             labels, scores = [], []
             for a, z, codes, offsets, distinct in _parts(b.column("_text")):
@@ -271,9 +361,9 @@ def predict(docs: DataFrame, keep: list[str], langs: list[str], p: np.ndarray, p
                     labels += ["und"] * (z - a)
                     scores += [0.0] * (z - a)
                     continue
-                if len(store["place"]) > REMEMBERED:
-                    store |= {"place": {}, "scores": np.zeros((0, len(names) + 1))}
-                place, known = store["place"], store["scores"]
+                if len(store["place"]) > min(REMEMBERED, KNOWN // (len(names) + 1)):
+                    store["place"] = {}
+                place = store["place"]
                 new = [d for d in distinct if d not in place]
                 split = [words_in(d) for d in new]
                 words = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
@@ -284,8 +374,12 @@ def predict(docs: DataFrame, keep: list[str], langs: list[str], p: np.ndarray, p
                 for k in range(len(names)):
                     rows[:, k] = np.bincount(owner, of_word[which, k], minlength=len(new)) if len(which) else 0
                 rows[:, -1] = np.bincount(owner, minlength=len(new))
-                place.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                store["scores"] = known = np.concatenate((known, rows))
+                have = len(place)
+                place.update(zip(new, range(have, have + len(new)), strict=True))
+                if len(place) > len(store["scores"]):
+                    store["scores"] = np.concatenate((store["scores"], np.zeros((max(len(place) - len(store["scores"]), len(store["scores"])), len(names) + 1))))
+                known = store["scores"]
+                known[have : len(place)] = rows
                 each = known[np.array([place[d] for d in distinct], np.int64)] if distinct else rows
                 sums = np.zeros((z - a, len(names) + 1))
                 doc = np.repeat(np.arange(z - a), np.diff(offsets))
