@@ -9,8 +9,12 @@ entity of the corpus, or that several entities share, is drawn again for all but
 entities that needed a second draw must be told to the tasks that rewrite the texts; that table is broadcast if it is
 small, else joined to the documents in which they occur.
 
+The key is secret: whoever has it can find the original of a surrogate by trying.  It comes from the caller or the session's
+``KEY_SETTING``; without one nothing is replaced and an error raised.
+
 Defined results: null text stays null, empty text empty; a text without entities stays as it is, byte for byte; repeated
-rows get the same replacements; an empty table gives an empty result; other columns are kept.
+rows get the same replacements; a very long text takes time in proportion to it; an empty table gives an empty result;
+other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 from weft.llm.common import computed, fresh, pin
 from weft.llm.surrogates import find, render, surrogate
 
-KEY = b"weft surrogate key"
+KEY_SETTING = "spark.weft.pii.key"
 #: Redrawn entities that are broadcast; each is under 200 bytes.
 FEW = 50_000
 
@@ -68,8 +72,11 @@ def redrawn(real: DataFrame, key: bytes) -> DataFrame:
             return settled.where("attempt > 0").select("kind", "value", "attempt")
 
 
-def replace(docs: DataFrame, text: str = "text", key: bytes = KEY, details: bool = False) -> DataFrame:
+def replace(docs: DataFrame, text: str = "text", key: bytes | None = None, details: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``details`` also n_replaced and where and what they are."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, "").encode()
+    if not key:
+        raise ValueError(f"surrogates need a secret key: give one or set {KEY_SETTING}")
     again = pin(redrawn(pin(entities(docs, text)), key))
     few = again.limit(FEW + 1).count() <= FEW
     common = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in again.collect()} if few else {})
@@ -114,8 +121,8 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["_h1", "_h2", "kind", "value"])
 
 
-def op9(docs: DataFrame) -> DataFrame:
+def op9(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, the text with surrogates, and what was replaced where."""
-    out = replace(docs.select("doc_id", "text"), details=True)
+    out = replace(docs.select("doc_id", "text"), key=key, details=True)
     kinds = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))))
     return out.select("doc_id", "text", F.col("n_replaced").cast("long").alias("n_replaced"), kinds.alias("kinds"), "entities")

