@@ -127,3 +127,149 @@ def test_statements(spark):
     assert run_script(spark, "select 1; select 2") == 2
     with pytest.raises(ProjectError, match="statement 2"):
         run_script(spark, "select 1; selec 2; select 3")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("expression", ["[This].k >= [Related].k AND [This].k < [Related].v", "[This].k BETWEEN [Related].k AND [Related].v", "[This].k <= [Related].v", "([Related].v > [This].k) AND [This].k + 0 <> 3", "[Related].v BETWEEN [This].id AND [This].k", "[This].k % 3 = [Related].k % 3"])
+@pytest.mark.parametrize("cardinality", ["M-1", "M-M"])
+def test_conditions_that_are_no_equality(spark, expression, cardinality):
+    import random
+
+    random.seed(3)
+    some = lambda n: random.choice([None, *range(n)])
+    left, right = [(i, some(40)) for i in range(60)], [(some(40), some(40)) for _ in range(30)]
+    rules = [("v", "[r].v")] if cardinality == "M-1" else [("v", "count([r].v)")]
+    p = project(spark, left, right, rules, expression, cardinality)
+    sql = expression.replace("[This].", "l.").replace("[Related].", "r.")
+    spark.createDataFrame(left, "id int, k int").createOrReplaceTempView("theta_l")
+    spark.createDataFrame(right, "k int, v int").createOrReplaceTempView("theta_r")
+    what = "r.v" if cardinality == "M-1" else "count(r.v)"
+    want = spark.sql(f"SELECT l.id, {what} v FROM theta_l l LEFT JOIN theta_r r ON {sql}" + ("" if cardinality == "M-1" else " GROUP BY l.id"))
+    df = Engine(spark, p).source("l").select("id", "v")
+    assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+
+
+def test_ranges_are_joined_by_buckets(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for card, rule in (("M-1", "[r].v"), ("M-M", "max([r].v)")):
+            p = project(spark, [(1, 1)], [(1, 5)], [("x", rule)], "[This].k >= [Related].k AND [This].k < [Related].v", card)
+            text = plan(Engine(spark, p).source("l"))
+            assert "SortMergeJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cardinality_check_ignores_null_keys_and_sees_ranges(spark):
+    many = [(None, 1), (None, 2), (7, 3)]
+    p = project(spark, [(1, None), (2, 7)], many, [("v", "[r].v")], cardinality="M-1")
+    assert sorted(str(tuple(r)) for r in Engine(spark, p, check_cardinality=True).source("l").select("id", "v").collect()) == ["(1, None)", "(2, 3)"]
+    for expression in ("[This].k <= [Related].k", "[This].k <= [Related].k AND [This].id = [Related].v"):
+        p = project(spark, [(2, 1)], [(3, 2), (4, 2)], [("v", "[r].v")], expression, "M-1")
+        with pytest.raises(Exception, match="declared 1"):
+            Engine(spark, p, check_cardinality=True).source("l").collect()
+
+
+def test_corr_without_spread_is_null(spark):
+    p = project(spark, [(1, 1), (2, 2), (3, 3)], [(1, 5), (1, 5), (2, 1), (2, 2), (2, None)], [("c", "corr([r].v, [r].k + [r].v)")])
+    assert {r.id: r.c for r in Engine(spark, p).source("l").collect()} == {1: None, 2: pytest.approx(1.0), 3: None}
+
+
+def test_schema_of_json_agg(spark):
+    rows = [(1, '{"a": 1, "b": [1, 2.5]}'), (1, '{"a": "x", "c": {"d": true}}'), (1, "not json"), (2, None)]
+    sources = [
+        {"source_name": "l", "frame": spark.createDataFrame([(1,), (2,), (3,)], "id int"), "raw_attributes": ["id int"], "rules": [{"name": "s", "expression": "schema_of_json_agg([r].j)"}]},
+        {"source_name": "r", "frame": spark.createDataFrame(rows, "k int, j string"), "raw_attributes": ["k int", "j string"]},
+    ]
+    p = Project.of(sources, [{"name": "[l]-k-[r]", "expression": "[This].id = [Related].k", "cardinality": "1-M"}])
+    assert {r.id: r.s for r in Engine(spark, p).source("l").collect()} == {1: "STRUCT<a: STRING, b: ARRAY<DOUBLE>, c: STRUCT<d: BOOLEAN>>", 2: None, 3: None}
+
+
+def test_unique_lookup_with_a_hot_null(spark):
+    p = project(spark, [(1, 5), (2, 6)], [(None, 1)] * 50 + [(5, 2), (6, 3), (6, 4)], [("x", "[r].v")], "[This].k = [Related].u", "M-1", right_rules=[("u", "[This].k")])
+    p.sources["r"].rules["u"].unique = True
+    df = Engine(spark, p).source("l")
+    assert {r.id: r.x for r in df.collect()} == {1: 2, 2: None} and "Window" not in plan(df)
+
+
+def items(spark, rows, rules, nested=()):
+    from pyspark.sql import types as T
+
+    kind = T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.DoubleType())]))
+    raw = {"name": "items", "schema": kind.jsonValue(), "rules": [{"name": n, "expression": e} for n, e in nested]}
+    frame = spark.createDataFrame(rows, "id int, items array<struct<x:int,y:double>>")
+    return Project.of([{"source_name": "s", "frame": frame, "raw_attributes": ["id int", raw], "rules": [{"name": n, "expression": e} for n, e in rules]}])
+
+
+def test_rules_and_aggregates_on_arrays(spark):
+    rows = [(1, [(1, 1.5), (2, None), (2, 3.5)]), (2, []), (3, None), (4, [(None, None)])]
+    rules = [("n", "count([items].y)"), ("total", "sum([items].x)"), ("both", "sum([items].z) + 1"), ("top", "max([items].x)"), ("xs", "collect_set([items].x)"), ("some_big", "any([items].x > 1)"), ("first_y", "first([items].y)"), ("late", "[This].n * 2")]
+    df = Engine(spark, items(spark, rows, rules, [("z", "[This].w * 2"), ("w", "[This].x + [Parent].id")])).source("s")
+    got = {r.id: (r.n, r.total, r.both, r.top, sorted(r.xs, key=str), r.some_big, r.first_y, r.late) for r in df.collect()}
+    assert got[1] == (2, 5, 17, 2, [1, 2], True, 1.5, 4)
+    assert got[2] == (0, None, None, None, [], None, None, 0) == got[3]
+    assert got[4] == (0, None, None, None, [], None, None, 0)
+    assert [tuple(e) for e in df.where("id = 1").first()["items"]][0] == (1, 1.5, 2, 4)
+
+
+@pytest.mark.parametrize(
+    ("rules", "nested", "code"),
+    [
+        ([("a", "[items].x + 1")], [], "cardinality"),
+        ([("a", "sum([items].q)")], [], "unknown attribute"),
+        ([], [("x", "1")], "duplicate"),
+        ([], [("z", "[This].q + 1")], "unknown attribute"),
+        ([], [("z", "[Parent].q + 1")], "unknown attribute"),
+        ([], [("z", "sum([This].x)")], "rule"),
+    ],
+)
+def test_errors_on_arrays(spark, rules, nested, code):
+    with pytest.raises(ProjectError) as e:
+        items(spark, [], rules, nested)
+    assert e.value.code == code
+
+
+def test_element_rules_in_a_circle(spark):
+    p = items(spark, [(1, [])], [], [("a", "[This].b"), ("b", "[This].a")])
+    with pytest.raises(ProjectError, match="need each other"):
+        Engine(spark, p).source("s")
+    p = items(spark, [(1, [])], [("m", "median([items].x)")])
+    with pytest.raises(ProjectError, match="not offered"):
+        Engine(spark, p).source("s")
+
+
+def test_probe_warns_of_null(spark):
+    p = project(spark, [], [], [("fine", "[This].id + [r].v"), ("lost", "try_to_date(concat('x', [This].id))"), ("n", "[This].fine * 2")], cardinality="M-1")
+    with pytest.warns(UserWarning, match="lost is NULL"):
+        assert Engine(spark, p).probe("l") == ["lost"]
+
+
+def test_hubs_are_written_once(spark):
+    p = project(spark, [(1, 1)], [(1, 5)], [("a", "max([r].w)"), ("b", "[This].a + 1")], right_rules=[("w", "[This].v * 2")])
+    with Engine(spark, p, materialise=True) as engine:
+        df = engine.source("l")
+        assert df.first().b == 11 and "weft-hub" in plan(df)
+        folder = engine._folders[0].removeprefix("file:")
+        import os
+
+        assert os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
+def test_unpivot_must_be_declared_whole(spark):
+    for more in ({"operation_type": "Unpivot"}, {"unpivot_columns": ["id"]}):
+        out = [{"output_name": "o", "columns": ["x int"], "channels": [{"source_name": "l", "mappings": ["id x"], **more}]}]
+        with pytest.raises(ProjectError, match="belong together"):
+            project(spark, [], [], [], outputs=out)
+
+
+def test_functions_have_names(spark):
+    p = project(spark, [(1, 1)], [], [("x", "twice([This].id)")])
+    p.register_function("twice", lambda i: i * 2, "int")
+    assert Engine(spark, p).source("l").first().x == 2
+    for name in ("Sum", "sum", "a-b"):
+        with pytest.raises(ProjectError, match="function name"):
+            p.register_function(name, len)

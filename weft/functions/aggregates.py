@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: All recognised names.
 NAMES = frozenset(
     "any any_value approx_count_distinct approx_percentile array_agg avg bit_or bit_xor bool_and bool_or collect_list collect_set corr count count_if count_min_sketch "
@@ -11,4 +13,44 @@ NAMES = frozenset(
 #: What a call yields over no rows, where that isn't NULL.
 EMPTY = {"count": "0L", "count_if": "0L", "approx_count_distinct": "0L", "collect_list": "array()", "collect_set": "array()", "array_agg": "array()"}
 #: Known to the language, but not offered by Spark or outside the types that a rule can have.
-REJECTED = {"schema_of_json_agg": "is not a function of Spark", "count_min_sketch": "yields a binary value, which no rule can have"}
+REJECTED = {"count_min_sketch": "yields a binary value, which no rule can have"}
+
+
+_ARGUMENTS = re.compile(r"\s*(\w+)\s*\(\s*(distinct\s+)?(.*?)\)\s*(filter\s*\(.*\))?\s*", re.I | re.S)
+
+
+def _split(text: str) -> list[str]:
+    """Arguments at commas outside brackets and quotes."""
+    out, depth, quote, at = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(text[at:i])
+            at = i + 1
+    return [*out, text[at:]]
+
+
+def compiled(name: str, sql: str) -> str:
+    """The SQL of a call as Spark is asked for it.
+
+    Spark's corr fails over rows without spread, where SQL has NULL, so it is made of its parts.  Schemas of JSON are
+    found row by row, and only the different ones of a group are merged.
+    """
+    if name not in ("corr", "schema_of_json_agg"):
+        return sql
+    m = _ARGUMENTS.fullmatch(sql)
+    arguments = _split(m[3]) if m else []
+    if name == "corr" and m and len(arguments) == 2 and not m[2]:
+        x, y, only = *arguments, m[4] or ""
+        spread = f"stddev_pop(if(({y}) IS NULL, NULL, {x})) {only} * stddev_pop(if(({x}) IS NULL, NULL, {y})) {only}"
+        return f"try_divide(covar_pop({x}, {y}) {only}, {spread})"
+    if name == "schema_of_json_agg" and m and len(arguments) == 1:
+        return f"weft_merge_schemas(collect_set(weft_schema_of_json({arguments[0]})) {m[4] or ''})"
+    return sql

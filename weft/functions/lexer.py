@@ -66,7 +66,7 @@ def _tokens(text: str, where: str) -> list[tuple[int, int, str | Ref]]:
                 raise ProjectError("quote", f"quote at {i} is not closed", where)
             out.append((i, j + 1, text[i : j + 1]))
             i = j + 1
-        elif c == "/" and text[i : i + 2] == "/*":
+        elif text[i : i + 2] in ("/*", "--"):
             raise ProjectError("comment", "comments are not allowed", where)
         elif c == "[":
             j = i + 1

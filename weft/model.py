@@ -25,18 +25,40 @@ def _active(spec: Dict) -> bool:
 
 @dataclass
 class Raw:
+    """A declared column.  ``rules`` add fields to the elements of an array of structs."""
+
     name: str
     type: str
     schema: object = None
+    rules: dict[str, Rule] = field(default_factory=dict)
+
+    def fields(self) -> set[str]:
+        """The fields of an array's elements; none for other types."""
+        element = getattr(self.schema, "elementType", None)
+        return {f.name for f in getattr(element, "fields", ())} | self.rules.keys()
 
     @classmethod
     def of(cls, spec, where: str) -> Raw:
         if isinstance(spec, Dict):
             kind = types.nested(spec.get("schema"))
-            return cls(str(spec["name"]).lower(), types.name_of(kind), kind)
+            out = cls(str(spec["name"]).lower(), types.name_of(kind), kind)
+            for r in spec.get("rules") or []:
+                rule = Rule.of(r, f"{where}].[{out.name}")
+                if not out.fields():
+                    raise ProjectError("rule", "only an array of structs has rules on its elements", rule.where)
+                if rule.name in out.fields():
+                    raise ProjectError("duplicate", f"attribute {rule.name} is declared twice", rule.where)
+                if rule.parsed.aggs() or rule.parsed.windowed or any(x.source not in (None, "Parent") for x in rule.parsed.refs()):
+                    raise ProjectError("rule", "a rule on elements can use [This] and [Parent] attributes only", rule.where)
+                out.rules[rule.name] = rule
+            for rule in out.rules.values():
+                for x in rule.parsed.refs():
+                    if x.source is None and (x.attribute not in out.fields() or x.attribute == rule.name):
+                        raise ProjectError("unknown attribute", f"unknown attribute [This].{x.attribute}", rule.where)
+            return out
         words = str(spec).split()
         if len(words) != 2 or words[1].lower() not in types.NAMES:
-            raise ProjectError("raw attribute", f"Invalid raw attribute datatype in {spec!r}", where)
+            raise ProjectError("raw attribute", f"{spec!r} is not a name and a type", where)
         return cls(words[0].lower(), words[1].lower())
 
 
@@ -93,7 +115,9 @@ class Source:
             raise ProjectError("source", "source_name is missing")
         if not (spec.get("source_table") or spec.get("source_query") or spec.get("frame") is not None):
             raise ProjectError("source", "source_table is missing", name)
-        out = cls(name, spec.get("source_table"), spec.get("source_query"), spec.get("target_table") or name,
+        table = spec.get("source_table")
+        target = spec.get("target_table") or (name if str(table).lower() != name.lower() else f"enriched_{name}")
+        out = cls(name, table, spec.get("source_query"), target,
                   stream=spec.get("processing_type") == "stream", unmanaged=spec.get("refresh_type") == "unmanaged", frame=spec.get("frame"))
         for r in spec.get("raw_attributes") or []:
             raw = Raw.of(r, name)
@@ -102,6 +126,11 @@ class Source:
             out.raw[raw.name] = raw
         if not out.raw:
             raise ProjectError("raw attribute", "no raw attributes", name)
+        for raw in out.raw.values():
+            for rule in raw.rules.values():
+                for x in rule.parsed.refs():
+                    if x.source == "Parent" and x.attribute not in out.raw:
+                        raise ProjectError("unknown attribute", f"unknown attribute [Parent].{x.attribute}", rule.where)
         for r in spec.get("rules") or []:
             rule = Rule.of(r, name)
             if rule.name in out.raw or rule.name in out.rules:
@@ -188,6 +217,12 @@ class Channel:
     aggregated: bool
     mappings: dict[str, Mapping]
     statuses: tuple[str, ...]
+    #: Attributes that become rows, under ``unpivot_name`` and ``unpivot_value``.
+    unpivot: tuple[str, ...] = ()
+
+
+#: What a mapping can name besides attributes in a channel that unpivots.
+UNPIVOTED = ("unpivot_name", "unpivot_value")
 
 
 @dataclass
@@ -214,8 +249,11 @@ class Output:
             if not _active(c):
                 continue
             operation = str(c.get("operation_type") or "none").lower()
-            if operation not in ("none", "aggregate"):
+            if operation not in ("none", "aggregate", "unpivot"):
                 raise ProjectError("output", f"operation_type {c['operation_type']} is not supported", name)
+            turned = tuple(str(x).lower() for x in c.get("unpivot_columns") or ())
+            if bool(turned) != (operation == "unpivot"):
+                raise ProjectError("output", "operation_type: Unpivot and unpivot_columns belong together", name)
             source = str(c["source_name"])
             number = sum(x.source == source for x in channels) + 1
             label = source if number == 1 else f"{source} {number}"
@@ -233,7 +271,7 @@ class Output:
             flags = {"P": c.get("include_pass_flag", True), "W": c.get("include_warn_flag", True), "F": c.get("include_fail_flag", False)}
             if not any(flags.values()):
                 raise ProjectError("output", "at least one of pass, warn and fail must be included", f"{name}/{label}")
-            channels.append(Channel(label, source, where, operation == "aggregate", mappings, tuple(k for k, v in flags.items() if v)))
+            channels.append(Channel(label, source, where, operation == "aggregate", mappings, tuple(k for k, v in flags.items() if v), turned))
         if not channels:
             raise ProjectError("output", "no active channels", name)
         table = spec.get("table_name") or name
@@ -245,6 +283,13 @@ class Project:
     sources: dict[str, Source]
     relations: list[Relation]
     outputs: dict[str, Output]
+    functions: dict[str, tuple] = field(default_factory=dict)
+
+    def register_function(self, name: str, function, returns=None) -> None:
+        """A function of Python that rules can call: a (pandas) UDF, or a callable and its return type."""
+        if not types.IDENTIFIER.match(name) or name in aggregates.NAMES:
+            raise ProjectError("function", f"Invalid function name {name!r}")
+        self.functions[name] = (function, returns)
 
     @classmethod
     def of(cls, sources, relations=(), outputs=()) -> Project:
@@ -277,11 +322,17 @@ class Project:
             for c in out.channels:
                 if c.source not in found:
                     raise ProjectError("output", f"unknown source {c.source}", out.name)
-                used = [m.attribute for m in c.mappings.values()] + [r.attribute for r in (c.filter.refs() if c.filter else [])]
+                used = [*c.unpivot, *(m.attribute for m in c.mappings.values() if not (c.unpivot and m.attribute in UNPIVOTED))] + [r.attribute for r in (c.filter.refs() if c.filter else [])]
                 for a in used:
                     if not found[c.source].has(a):
                         raise ProjectError("output", f"unknown attribute [{c.source}].{a}", f"{out.name}/{c.name}")
             outs[out.name] = out
+        read = {str(s.table).lower() for s in found.values() if s.table}
+        for where, table in [(s.name, s.target) for s in found.values() if not s.unmanaged] + [(o.name, o.table) for o in outs.values()]:
+            if str(table).lower() in read:
+                raise ProjectError("target", f"{table} is read by the project and can't be written", where)
+        if len(targets := [str(s.target).lower() for s in found.values()] + [o.table.lower() for o in outs.values()]) > len(set(targets)):
+            raise ProjectError("duplicate", f"several write to {', '.join(sorted({t for t in targets if targets.count(t) > 1}))}")
         project = cls(found, made, outs)
         check(project)
         return project

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,9 @@ from weft.errors import ProjectError
 from weft.functions import types
 from weft.functions.lexer import Agg, Ref
 from weft.model import Project, Relation, Source
+from weft.operators import arrays
 from weft.operators.manyjoin import aggregate, condition, quoted
+from weft.operators.theta import has_equality, matches
 from weft.plans.paths import Path, relation
 from weft.plans.rules import levels, needs, sides
 
@@ -45,6 +47,8 @@ class Enrichment:
         if missing:
             raise ProjectError("raw attribute", f"the table has no column {', '.join(missing)}", source.name)
         self.df = base.select(*[F.col(quoted(n)).alias(n) for n in source.raw])
+        for raw in source.raw.values():
+            self._element_rules(raw)
         self.steps: list[str] = []
 
     def _number(self, path: Path) -> int:
@@ -55,14 +59,26 @@ class Enrichment:
         if name == self.source.name:
             return self.df.select(*[c for c in self.df.columns if not c.startswith(OWN)])
         rows = self.hub(name)
-        # a lookup by a unique rule finds only values that occur once
+        # a lookup by a unique rule finds only values that occur once; a hot value is folded in each task
         for a in sides(r, forward)[1]:
             rule = self.project.sources[name].rules.get(a)
             if rule is not None and rule.unique:
-                once = Window.partitionBy(quoted(a))
-                rows = rows.withColumn(f"{a}_uv_flag", F.count(F.lit(1)).over(once) == 1).where(quoted(f"{a}_uv_flag"))
+                row = F.struct(*[F.col(quoted(c)).alias(c) for c in rows.columns])
+                each = rows.where(F.col(quoted(a)).isNotNull()).groupBy(F.col(quoted(a)).alias(f"{OWN}key")).agg(F.count(F.lit(1)).alias(f"{OWN}n"), F.first(row).alias(f"{OWN}row"))
+                rows = each.where(F.col(f"{OWN}n") == 1).select(f"{OWN}row.*")
         return rows
 
+    def _element_rules(self, raw) -> None:
+        """The rules on the elements of an array, level by level."""
+        left, fields = dict(raw.rules), [f.name for f in raw.schema.elementType.fields] if raw.rules else []
+        while left:
+            ready = [n for n, r in left.items() if not any(x.source is None and x.attribute in left for x in r.parsed.refs())]
+            if not ready:
+                raise ProjectError("rule cycle", f"rules need each other: {', '.join(left)}", f"[{self.source.name}].{raw.name}")
+            texts = {n: arrays.element_text(left.pop(n).parsed.parts, lambda x: quoted(x.attribute)) for n in ready}
+            self.df = self.df.withColumn(raw.name, F.expr(arrays.with_rules(quoted(raw.name), fields, texts)))
+            fields += ready
+
     def _wanted(self, path: Path) -> list[str]:
         """Attributes at the end of a path that any rule needs, as values or as keys of the next hop."""
         out: set[str] = set()
@@ -91,13 +107,28 @@ class Enrichment:
         names = [a for a in sorted({*self._wanted(path), *end_keys}) if a in right.columns]
         columns = {a: f"{OWN}j{number}_{a}" for a in names}
         right = right.select(*[F.col(quoted(a)).alias(c) for a, c in columns.items()])
-        if self.check_one:
-            mark = Window.partitionBy(*[quoted(columns[a]) for a in end_keys])
-            many = F.count(F.lit(1)).over(mark) > 1
-            right = right.withColumn(columns[end_keys[0]], F.when(many, F.raise_error(F.lit(f"{hop.relation}: several rows on a side declared 1"))).otherwise(F.col(quoted(columns[end_keys[0]]))))
         left = self.df.columns
         kept = [c for a, c in columns.items() if a in self._wanted(path)]
-        self.df = self.df.join(right, condition(r, hop.forward, start, columns), "left").select(*left, *kept)
+        several = F.raise_error(F.lit(f"{hop.relation}: several rows on a side declared 1"))
+        if self.df.isStreaming or has_equality(r) and not (self.check_one and r.equal is None):
+            if self.check_one and not self.df.isStreaming:  # NULL keys match nothing
+                keys = [F.col(quoted(columns[a])) for a in end_keys]
+                many = (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1) & ~F.greatest(*[k.isNull() for k in keys], F.lit(False))
+                right = right.withColumn(columns[end_keys[0]], F.when(many, several).otherwise(keys[0]))
+            self.df = self.df.join(right, condition(r, hop.forward, start, columns), "left").select(*left, *kept)
+        else:
+            # the distinct keys are matched first, so that no side need be broadcast for the outer join
+            used = sorted({start[a] for a in start_keys})
+            keys = [f"{OWN}t{number}_{i}" for i in range(len(used))]
+            renamed = {a: keys[used.index(c)] for a, c in start.items() if c in used}
+            ours = self.df.select(*[F.col(quoted(c)).alias(k) for c, k in zip(used, keys, strict=True)]).distinct()
+            found = matches(ours, right, r, renamed, columns, hop.forward, condition(r, hop.forward, renamed, columns)).select(*keys, *kept)
+            if self.check_one:
+                many = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+                mark = keys[0]
+                found = found.withColumn(mark, F.when(many, several).otherwise(F.col(mark)))
+            on = [F.col(quoted(c)).eqNullSafe(F.col(k)) for c, k in zip(used, keys, strict=True)]
+            self.df = self.df.join(found, on, "left").select(*left, *kept)
         self.steps.append(f"left join {hop.end} by {' '.join(h.relation for h in path)}: {', '.join(columns)}")
         self.there[path] = columns
         return columns
@@ -130,15 +161,20 @@ class Enrichment:
                     calls[slot[id(a)]] = a
             for path, calls in grouped.items():
                 self._aggregates(path, calls)
-            made = []
+            made: dict[str, Column] = {}
             for name in names:
                 n = self.needs[name]
+                for a, array in n.arrays:
+                    slot[id(a)] = f"{OWN}s{number}_{len(slot)}"
+                    inner = arrays.aggregate(a, quoted(array), lambda sql: self.df.select(F.expr(sql).alias("v")).schema["v"].dataType, n.rule.where)
+                    self.df = self.df.withColumn(slot[id(a)], F.expr(inner))
 
                 def column(ref: Ref, n=n) -> str:
                     return quoted(ref.attribute if ref.source is None else self.there[n.lookups[ref]][ref.attribute])
 
-                made.append(self._typed(n.rule, F.expr(n.rule.parsed.render(column, lambda a: quoted(slot[id(a)])))).alias(name))
-            self.df = self.df.select("*", *made)
+                made[name] = F.expr(n.rule.parsed.render(column, lambda a: quoted(slot[id(a)])))
+            kinds = self._kinds(made)
+            self.df = self.df.select("*", *[self._typed(self.needs[n].rule, v, kinds[n]).alias(n) for n, v in made.items()])
             for name in names:
                 kind = self.df.schema[name].dataType
                 if types.name_of(kind) is None:
@@ -146,12 +182,21 @@ class Enrichment:
             self.steps.append(f"level {number}: {', '.join(names)}")
         return self.df.select(*[c for c in self.df.columns if not c.startswith(OWN)])
 
-    def _typed(self, rule, value):
+    def _kinds(self, made: dict[str, Column]) -> dict[str, T.DataType]:
+        """The types of a level's rules by one analysis; only if that fails, rule by rule, to name the wrong one."""
+        try:
+            schema = self.df.select(*[v.alias(n) for n, v in made.items()]).schema
+            return {n: schema[n].dataType for n in made}
+        except Exception:  # noqa: BLE001  whatever it is, it is raised again below or by the level's select
+            for name, value in made.items():
+                try:
+                    self.df.select(value.alias("v")).schema
+                except AnalysisException as e:
+                    raise ProjectError("expression", f"Invalid rule expression: {str(e).splitlines()[0]}", self.needs[name].rule.where) from e
+            raise
+
+    def _typed(self, rule, value: Column, kind: T.DataType) -> Column:
         """The cast that was asked for; any decimal becomes the catalogue's decimal."""
         if rule.cast:
             return value.cast(rule.cast)
-        try:
-            kind = self.df.select(value.alias("v")).schema["v"].dataType
-        except AnalysisException as e:
-            raise ProjectError("expression", f"Invalid rule expression: {str(e).splitlines()[0]}", rule.where) from e
         return value.cast(types.NAMES["decimal"]) if isinstance(kind, T.DecimalType) else value

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import aggregates
 from weft.functions.lexer import Agg, Ref
 from weft.model import Relation
+from weft.operators.theta import matches
 
 
 def quoted(name: str) -> str:
@@ -27,10 +28,10 @@ def aggregate(df: DataFrame, many: DataFrame, r: Relation, forward: bool, start:
     """``df`` with a column for each of ``calls``; all calls share one join.
 
     For equalities ``many`` is grouped by its keys and joined once.  For other conditions the distinct keys of ``df`` are
-    joined with ``many``, grouped, and joined back.  Either way a row without matches gets what the call yields over no
+    matched with ``many`` (see :mod:`weft.operators.theta`), grouped, and joined back.  Either way a row without matches gets what the call yields over no
     rows; ``mark`` names a column that tells such rows.
     """
-    texts = {c: F.expr("".join(p if isinstance(p, str) else quoted(value[p.attribute]) for p in a.parts)) for c, a in calls.items()}
+    texts = {c: F.expr(aggregates.compiled(a.name, "".join(p if isinstance(p, str) else quoted(value[p.attribute]) for p in a.parts))) for c, a in calls.items()}
     out = [v.alias(c) for c, v in texts.items()] + [F.lit(True).alias(mark)]
     if (pairs := r.equal) is not None:
         pairs = [(start[a], end[b]) if forward else (start[b], end[a]) for a, b in pairs]
@@ -42,7 +43,7 @@ def aggregate(df: DataFrame, many: DataFrame, r: Relation, forward: bool, start:
         keys = [f"{mark}_{i}" for i in range(len(used))]
         ours = df.select(*[F.col(quoted(c)).alias(k) for c, k in zip(used, keys, strict=True)]).distinct()
         renamed = {a: keys[used.index(c)] for a, c in start.items() if c in used}
-        grouped = ours.join(many, condition(r, forward, renamed, end)).groupBy(*keys).agg(*out)
+        grouped = matches(ours, many, r, renamed, end, forward, condition(r, forward, renamed, end)).groupBy(*keys).agg(*out)
         on = [F.col(quoted(c)).eqNullSafe(F.col(k)) for c, k in zip(used, keys, strict=True)]
     joined = df.join(grouped, on, "left")
     filled = {}

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.errors import ProjectError
-from weft.model import Channel, Mapping, Output, Source
+from weft.functions import aggregates
+from weft.model import UNPIVOTED, Channel, Mapping, Output, Source
 from weft.operators.manyjoin import quoted
 
 STATUS = "validation_status"
@@ -33,7 +34,7 @@ def _value(m: Mapping) -> Column:
     if m.aggregate is None:
         return _path(m)
     path = ".".join(quoted(k.strip("`")) for k in m.path.split("."))
-    return F.expr(f"{m.aggregate}({'distinct ' if m.distinct else ''}{path})")
+    return F.expr(aggregates.compiled(m.aggregate, f"{m.aggregate}({'distinct ' if m.distinct else ''}{path})"))
 
 
 def channel(out: Output, c: Channel, rows: DataFrame, source: Source, by_status: bool) -> DataFrame:
@@ -45,6 +46,8 @@ def channel(out: Output, c: Channel, rows: DataFrame, source: Source, by_status:
         rows = rows.where(wanted)
     if by_status:
         rows = rows.where(status(source).isin(*c.statuses))
+    if c.unpivot:
+        rows = rows.select("*", F.inline(F.array(*[F.struct(F.lit(a).alias(UNPIVOTED[0]), F.col(quoted(a)).alias(UNPIVOTED[1])) for a in c.unpivot])))
     if c.aggregated:
         keys = [m for m in c.mappings.values() if m.aggregate is None]
         named = {m.column: f"k{i}" for i, m in enumerate(keys)}

@@ -18,6 +18,7 @@ class Need:
     rule: Rule
     lookups: dict[Ref, Path] = field(default_factory=dict)
     aggregates: list[tuple[Agg, Path]] = field(default_factory=list)
+    arrays: list[tuple[Agg, str]] = field(default_factory=list)  # aggregates over an array of the source itself
     own: set[str] = field(default_factory=set)  # attributes of the source itself that must be there before
 
 
@@ -39,14 +40,21 @@ def need(project: Project, source: Source, rule: Rule) -> Need:
     refs = e.refs() + [r for a in e.aggs() for r in a.refs()]
     if any(r.related for r in refs):
         raise ProjectError("reference", "[Related] belongs to relations only", rule.where)
+    within = {n: raw.fields() for n, raw in source.raw.items() if raw.fields() and n not in project.sources}
     for r in refs:
+        if r.source in within:
+            if r.attribute not in within[r.source]:
+                raise ProjectError("unknown attribute", f"unknown attribute [{r.source}].{r.attribute}", rule.where)
+            continue
         project.ref(source, r, rule.where)
         if r.source is None and r.attribute == rule.name:
             raise ProjectError("self-reference", "a rule can't refer to itself", rule.where)
-    foreign = {r.source for r in refs if r.source}
+    foreign = {r.source for r in refs if r.source and r.source not in within}
     for r in e.refs():
         if r.source is None:
             out.own.add(r.attribute)
+        elif r.source in within:
+            raise ProjectError("cardinality", f"must use aggregation: {r.source} is an array", rule.where)
         else:
             out.lookups[r] = resolve(project, source.name, r.source, True, _explicit(rule, r.source, foreign), rule.where)
     for a in e.aggs():
@@ -58,6 +66,9 @@ def need(project: Project, source: Source, rule: Rule) -> Need:
         if len(inner) > 1:
             raise ProjectError("aggregate", f"aggregate {a.name} uses several paths: {', '.join(sorted(inner))}", rule.where)
         (target,) = inner
+        if target in within:
+            out.arrays.append((a, target))
+            continue
         out.aggregates.append((a, resolve(project, source.name, target, False, _explicit(rule, target, foreign), rule.where)))
     for path in [*out.lookups.values(), *(p for _, p in out.aggregates)]:
         out.own.update(a for a in sides(relation(project, path[0].relation), path[0].forward)[0])
