@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +83,7 @@ def channel(source: str, mappings: str, aggregate: bool = False, **more) -> dict
 
 
 def _partsupp(spark, sf_dir):
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("weft_lineitem")
-    query = "SELECT l_partkey ps_partkey, l_suppkey ps_suppkey, min(l_extendedprice) ps_supplycost FROM weft_lineitem GROUP BY 1, 2"
+    query = f"SELECT l_partkey ps_partkey, l_suppkey ps_suppkey, min(l_extendedprice) ps_supplycost FROM parquet.`{sf_dir}/lineitem.parquet` GROUP BY 1, 2"
     return {"partsupp": (PARTSUPP, lambda: spark.sql(query))}
 
 
@@ -121,6 +121,21 @@ rule("struct_field_rule", "nested", [("k2", "[This].s.k * 2"), ("kind", "upper([
 rule("array_index_rule", "nested", [("first_item", "[This].arr[0]"), ("second_item", "[This].arr[1] + 1")], "event_id; first_item; second_item", "SELECT event_id, event_id first_item, user_id + 1 second_item FROM events", frames=_structs)
 rule("array_struct_aggregate", "nested", [("total", "aggregate(transform([This].items, i -> i.x * i.y), 0L, (a, v) -> a + v)"), ("n", "size([This].items)")], "event_id; total; n", "SELECT event_id, list_sum(list_transform(range(0, event_id % 3 + 1), lambda i: i * i * event_id))::BIGINT total, (event_id % 3 + 1)::INTEGER n FROM events", frames=_structs)
 rule("array_struct_rules", "nested", [("priced", "transform([This].items, i -> named_struct('x', i.x, 'y', i.y, 'sum_xy', i.x + i.y))"), ("last_sum", "element_at([This].priced, -1).sum_xy")], "event_id; size(priced) n; last_sum", "SELECT event_id, (event_id % 3 + 1)::INTEGER n, (event_id % 3) + event_id * (event_id % 3) last_sum FROM events", frames=_structs)
+
+
+def _order_lines(spark, sf_dir):
+    """Orders with their lines within, whose elements have rules of their own."""
+    from pyspark.sql import types as T
+
+    element = T.StructType([T.StructField("qty", T.DoubleType()), T.StructField("price", T.DoubleType()), T.StructField("flag", T.StringType())])
+    lines = F.sort_array(F.collect_list(F.struct(F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag")))).alias("items")
+    nested = [{"name": "half", "expression": "[This].price / 2"}, {"name": "tagged", "expression": "concat([This].flag, '-', [Parent].l_orderkey)"}, {"name": "quarter", "expression": "[This].half / 2"}]
+    raw = ["l_orderkey long", {"name": "items", "schema": T.ArrayType(element).jsonValue(), "rules": nested}]
+    return {"basket": (raw, lambda: spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(lines))}
+
+
+rule("sub_source_rules", "basket", [("n", "size([This].items)"), ("last_item", "element_at([This].items, -1)")], "l_orderkey; n; round(last_item.quarter * 4, 2) price; last_item.tagged tagged", "SELECT l_orderkey, count(*)::INTEGER n, round(arg_max(l_extendedprice, struct_pack(a := l_quantity, b := l_extendedprice, c := l_returnflag)), 2) price, concat(arg_max(l_returnflag, struct_pack(a := l_quantity, b := l_extendedprice, c := l_returnflag)), '-', l_orderkey) tagged FROM lineitem GROUP BY 1", frames=_order_lines)
+rule("sub_source_aggregate", "basket", [("revenue", "sum([items].half * 2)"), ("n", "count([items].qty)"), ("flags", "count(DISTINCT [items].flag)"), ("top", "max([items].qty) - min([items].qty)"), ("mean_qty", "avg([items].qty)"), ("dear", "count_if([items].price > 20000)"), ("back", "any([items].flag = 'R')")], "l_orderkey; round(revenue, 2) revenue; n; flags; top; round(mean_qty, 6) mean_qty; dear; back", "SELECT l_orderkey, round(sum(l_extendedprice), 2) revenue, count(*) n, count(DISTINCT l_returnflag) flags, max(l_quantity) - min(l_quantity) top, round(avg(l_quantity), 6) mean_qty, count(*) FILTER (l_extendedprice > 20000) dear, bool_or(l_returnflag = 'R') back FROM lineitem GROUP BY 1", frames=_order_lines)
 rule("validation_rule", "orders", [("has_price", "[This].o_totalprice > 1000", {"rule_type_code": "V", "validation_action_code": "F"})], "o_orderkey; has_price", "SELECT o_orderkey, o_totalprice > 1000 has_price FROM orders")
 VALID = [("dear", "[This].o_totalprice > 50000", {"rule_type_code": "V", "validation_action_code": "F"}), ("opened", "[This].o_orderstatus <> 'F'", {"rule_type_code": "V", "validation_action_code": "W"})]
 STATUS_SQL = "CASE WHEN NOT coalesce(o_totalprice > 50000, false) THEN 'F' WHEN NOT coalesce(o_orderstatus <> 'F', false) THEN 'W' ELSE 'P' END"
@@ -170,6 +185,7 @@ rule("lookup_theta_range", "lineitem", [("size_band", "[bucket].label")], LINE +
 rule("lookup_self_relation", "nation", [("prev_key", "[This].n_nationkey - 1"), ("loud", "upper([This].n_name)"), ("prev_loud", "[nation].loud")], "n_nationkey; prev_loud", "SELECT n.n_nationkey, upper(p.n_name) prev_loud FROM nation n LEFT JOIN nation p ON n.n_nationkey - 1 = p.n_nationkey", relations=[("[nation]-prev-[nation]", "[This].prev_key = [Related].n_nationkey", "M-1")])
 rule("lookup_unique_only", "events", [("k", "cast(get_json_object([This].props, '$.k') as int)"), ("owner", "[customer].c_custkey")], "event_id; owner", "SELECT event_id, c_custkey AS owner FROM events LEFT JOIN (SELECT floor(c_acctbal)::BIGINT b, min(c_custkey) c_custkey FROM customer GROUP BY 1 HAVING count(*) = 1) ON user_id = b", others={"customer": [("bal_floor", "floor([This].c_acctbal)", {"unique_flag": True})]}, relations=[("[events]-u-[customer]", "[This].user_id = [Related].bal_floor", "M-1")])
 rule("lookup_of_rule", "orders", [("seg", "[customer].seg_code")], "o_orderkey; seg", "SELECT o_orderkey, lower(substring(c_mktsegment, 1, 4)) seg FROM orders LEFT JOIN customer ON o_custkey = c_custkey", others={"customer": [("seg_code", "lower(substring([This].c_mktsegment, 1, 4))")]})
+# The rules of the sample project, as users know it.
 SAMPLE = [
     ("net_price_int", "([This].l_extendedprice - [This].l_tax - [This].l_discount)*100"),
     ("net_price_no_returns", "CASE WHEN [This].l_returnflag = 'R' THEN [This].net_price_int ELSE 0 END"),
@@ -179,8 +195,8 @@ SAMPLE = [
     *PSKEY,
     ("order_date_year_month", "date_format([orders].o_orderdate, 'yyyyMM')"),
 ]
-rule("enriched_lineitem", "lineitem", SAMPLE, LINE + "round(net_price_int, 2) net_price_int; round(net_price_no_returns, 2) net_price_no_returns; c_name; c_n_name; round(gross_margin_per_quantity + 0.0001234, 3) gross_margin; partsupp_pkey; order_date_year_month",
-     f"SELECT {L_SQL}, round((l_extendedprice - l_tax - l_discount)*100, 2) net_price_int, round(CASE WHEN l_returnflag = 'R' THEN (l_extendedprice - l_tax - l_discount)*100 ELSE 0 END, 2) net_price_no_returns, c_name, n_name c_n_name, round(((l_extendedprice - l_tax - l_discount)*100 - ps_supplycost)/l_quantity + 0.0001234, 3) gross_margin, concat(l_partkey, '|', l_suppkey) partsupp_pkey, strftime(o_orderdate, '%Y%m') order_date_year_month FROM {CHAIN} LEFT JOIN {PS_SQL} ps ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey",
+rule("enriched_lineitem", "lineitem", SAMPLE, LINE + "round(net_price_int, 2) net_price_int; round(net_price_no_returns, 2) net_price_no_returns; c_name; c_n_name; round(gross_margin_per_quantity * l_quantity, 2) gross_margin; partsupp_pkey; order_date_year_month",
+     f"SELECT {L_SQL}, round((l_extendedprice - l_tax - l_discount)*100, 2) net_price_int, round(CASE WHEN l_returnflag = 'R' THEN (l_extendedprice - l_tax - l_discount)*100 ELSE 0 END, 2) net_price_no_returns, c_name, n_name c_n_name, round(((l_extendedprice - l_tax - l_discount)*100 - ps_supplycost)/l_quantity * l_quantity, 2) gross_margin, concat(l_partkey, '|', l_suppkey) partsupp_pkey, strftime(o_orderdate, '%Y%m') order_date_year_month FROM {CHAIN} LEFT JOIN {PS_SQL} ps ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey",
      relations=PS_REL, others=PS_RULE, frames=_partsupp)
 
 # aggregates over the many side
@@ -195,29 +211,62 @@ rule("many_join_two_paths", "nation", [("both", "count([supplier].s_suppkey) + c
 rule("many_join_chained", "customer", [("suppliers", "count([supplier].s_suppkey)"), ("best", "max([supplier].s_acctbal)")], "c_custkey; suppliers; best", "SELECT c_custkey, count(s_suppkey) suppliers, max(s_acctbal) best FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 rule("many_join_self", "nation", [("shout", "upper([This].n_name)"), ("peers", "count([nation].n_nationkey)"), ("last_peer", "max([nation].shout)")], "n_nationkey; peers; last_peer", "SELECT n.n_nationkey, count(p.n_nationkey) peers, max(upper(p.n_name)) last_peer FROM nation n LEFT JOIN nation p ON n.n_regionkey = p.n_regionkey GROUP BY 1", relations=[("[nation]-peer-[nation]", "[This].n_regionkey = [Related].n_regionkey", "M-M")])
 rule("many_join_theta", "nation", [("after", "count([nation].n_nationkey)")], "n_nationkey; after", "SELECT n.n_nationkey, count(p.n_nationkey) AS after FROM nation n LEFT JOIN nation p ON n.n_regionkey = p.n_regionkey AND n.n_nationkey < p.n_nationkey GROUP BY 1", relations=[("[nation]-after-[nation]", "[This].n_regionkey = [Related].n_regionkey AND [This].n_nationkey < [Related].n_nationkey", "M-M")])
+
+
+def _price_bands(spark, sf_dir):
+    """A band of prices around each part's, about as many as parts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return {"band": ("band_key long, low double, high double", lambda: part.selectExpr("p_partkey band_key", "p_retailprice * 20 low", "p_retailprice * 20 + p_size high"))}
+
+
+_BANDS = "(SELECT p_partkey band_key, p_retailprice * 20 AS low, p_retailprice * 20 + p_size AS high FROM part)"
+rule("many_join_theta_range", "band", [("lines", "count([lineitem].l_orderkey)"), ("dearest", "max([lineitem].l_extendedprice)")], "band_key; lines; dearest", f"SELECT band_key, count(l_orderkey) AS lines, max(l_extendedprice) dearest FROM {_BANDS} LEFT JOIN lineitem ON l_extendedprice >= low AND l_extendedprice < high GROUP BY 1", relations=[("[band]-price-[lineitem]", "[Related].l_extendedprice >= [This].low AND [Related].l_extendedprice < [This].high", "M-M")], frames=_price_bands)
+rule("many_join_theta_one_side", "supplier", [("richer", "count([supplier].s_suppkey)")], "s_suppkey; richer", "SELECT s.s_suppkey, count(p.s_suppkey) richer FROM supplier s LEFT JOIN supplier p ON s.s_acctbal < p.s_acctbal GROUP BY 1", relations=[("[supplier]-richer-[supplier]", "[This].s_acctbal < [Related].s_acctbal", "M-M")])
+
+
+def _prices(spark, sf_dir):
+    """Ranges of prices that don't overlap: from each price among the parts to the next."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    query = "SELECT low, lead(low) OVER (ORDER BY low) high FROM (SELECT DISTINCT p_retailprice * 20 low FROM {part})"
+    return {"price": ("low double, high double", lambda: spark.sql(query, part=part))}
+
+
+rule("lookup_theta_many_ranges", "lineitem", [("from_price", "[price].low")], LINE + "from_price", f"SELECT {L_SQL}, low from_price FROM lineitem l LEFT JOIN (SELECT low, lead(low) OVER (ORDER BY low) high FROM (SELECT DISTINCT p_retailprice * 20 low FROM part)) ON l_extendedprice >= low AND l_extendedprice < high", relations=[("[lineitem]-price-[price]", "[This].l_extendedprice >= [Related].low AND [This].l_extendedprice < [Related].high", "M-1")], frames=_prices)
 rule("many_join_reused_by_rules", "orders", [("n", "count([lineitem].l_linenumber)"), ("busy", "[This].n > 4"), ("share", "[This].n / (count([lineitem].l_linenumber) + 1)")], "o_orderkey; n; busy; round(share, 6) share", f"SELECT o_orderkey, count(l_linenumber) n, count(l_linenumber) > 4 busy, round(count(l_linenumber) / (count(l_linenumber) + 1), 6) share FROM {O_L} GROUP BY 1")
 STATS = {
     "avg": ("round(avg({x}), 4)", "round(avg(l_quantity), 4)"), "mean": ("round(mean({x}), 4)", "round(avg(l_quantity), 4)"), "median": ("median({x})", "median(l_quantity)::DOUBLE"),
     "percentile": ("percentile({x}, 0.25)", "quantile_cont(l_quantity, 0.25)::DOUBLE"), "std": ("round(std({x}), 4)", "round(stddev_samp(l_quantity), 4)"), "stddev": ("round(stddev({x}), 4)", "round(stddev_samp(l_quantity), 4)"),
     "stddev_samp": ("round(stddev_samp({x}), 4)", "round(stddev_samp(l_quantity), 4)"), "stddev_pop": ("round(stddev_pop({x}), 4)", "round(stddev_pop(l_quantity), 4)"), "var_pop": ("round(var_pop({x}), 7)", "round(var_pop(l_quantity), 7)"),
-    "var_samp": ("round(var_samp({x}), 7)", "round(var_samp(l_quantity), 7)"), "variance": ("round(variance({x}), 7)", "round(var_samp(l_quantity), 7)"), "covar_pop": ("round(covar_pop({x}, {y}) + 0.0001234, 3)", "round(covar_pop(l_quantity, l_extendedprice) + 0.0001234, 3)"),
-    "covar_samp": ("round(covar_samp({x}, {y}) + 0.0001234, 3)", "round(covar_samp(l_quantity, l_extendedprice) + 0.0001234, 3)"), "min": ("min({x})", "min(l_quantity)"), "max": ("max({x})", "max(l_quantity)"), "sum": ("sum({x})", "sum(l_quantity)"), "count": ("count({x})", "count(l_quantity)"),
+    "var_samp": ("round(var_samp({x}), 7)", "round(var_samp(l_quantity), 7)"), "variance": ("round(variance({x}), 7)", "round(var_samp(l_quantity), 7)"), "covar_pop": ("round(covar_pop({x}, {y}) * count({x}) * count({x}), 2)", "round(covar_pop(l_quantity, l_extendedprice) * count(l_quantity) * count(l_quantity), 2)"),
+    "covar_samp": ("round(covar_samp({x}, {y}) * count({x}) * (count({x}) - 1), 2)", "round(covar_samp(l_quantity, l_extendedprice) * count(l_quantity) * (count(l_quantity) - 1), 2)"), "min": ("min({x})", "min(l_quantity)"), "max": ("max({x})", "max(l_quantity)"), "sum": ("sum({x})", "sum(l_quantity)"), "count": ("count({x})", "count(l_quantity)"),
     "any": ("any({x} > 45)", "bool_or(l_quantity > 45)"), "some": ("some({x} > 45)", "bool_or(l_quantity > 45)"), "every": ("every({x} > 5)", "bool_and(l_quantity > 5)"), "bool_and": ("bool_and({x} > 5)", "bool_and(l_quantity > 5)"), "bool_or": ("bool_or({x} > 45)", "bool_or(l_quantity > 45)"),
     "bit_or": ("bit_or({n})", "bit_or(l_linenumber)"), "bit_xor": ("bit_xor({n})", "bit_xor(l_linenumber)"), "count_if": ("count_if({x} > 45)", "count(*) FILTER (l_quantity > 45)"),
     "collect_list": ("sort_array(collect_list({n}))", "coalesce(list_sort(list(l_linenumber) FILTER (l_linenumber IS NOT NULL)), [])"), "array_agg": ("sort_array(array_agg({n}))", "coalesce(list_sort(list(l_linenumber) FILTER (l_linenumber IS NOT NULL)), [])"),
-    "collect_set": ("sort_array(collect_set({n}))", "coalesce(list_sort(list(DISTINCT l_linenumber) FILTER (l_linenumber IS NOT NULL)), [])"), "skewness": ("round(skewness({x}), 4)", None), "kurtosis": ("round(kurtosis({x}), 4)", None),
-    "mode": ("mode({x})", None), "any_value": ("any_value({f})", None), "first": ("first({f})", None), "first_value": ("first_value({f})", None), "last": ("last({f})", None), "last_value": ("last_value({f})", None),
+    "collect_set": ("sort_array(collect_set({n}))", "coalesce(list_sort(list(DISTINCT l_linenumber) FILTER (l_linenumber IS NOT NULL)), [])"), "corr": ("round(corr({x}, {y}), 6)", "round(CASE WHEN stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0 THEN corr(l_quantity, l_extendedprice) END, 6)"),
+    # the order of a group's rows is not fixed, so these are asked for what all its rows have in common
+    **{n: (f"{n}({{k}} * 2)", "any_value(l_orderkey * 2)") for n in ("any_value", "first", "first_value", "last", "last_value")},
     "max_by": ("max_by({n}, struct({y}, {n}))", "arg_max(l_linenumber, struct_pack(a := l_extendedprice, b := l_linenumber))"), "min_by": ("min_by({n}, struct({y}, {n}))", "arg_min(l_linenumber, struct_pack(a := l_extendedprice, b := l_linenumber))"),
-    "approx_count_distinct": ("approx_count_distinct({x})", None), "approx_percentile": ("approx_percentile({x}, 0.5)", None), "percentile_approx": ("percentile_approx({x}, 0.5)", None),
+    "approx_count_distinct": ("approx_count_distinct({f})", "count(DISTINCT l_returnflag)"),
+}
+#: Per order from all its lines: population moments, the most frequent value, and percentiles, exact in so small groups.
+_MOMENT = "sum(pow(l_quantity - m, {k})) / count(*)"
+_BY_MEAN = f"(SELECT l_orderkey, CASE WHEN {_MOMENT.format(k=2)} > 0 THEN {{v}} END v FROM lineitem JOIN (SELECT l_orderkey o, avg(l_quantity) m FROM lineitem GROUP BY 1) ON l_orderkey = o GROUP BY 1)"
+_RANKED = "(SELECT l_orderkey, l_quantity v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) r, count(*) OVER (PARTITION BY l_orderkey) n FROM lineitem) WHERE r = ceil(n * 0.5))"
+_MOST = "(SELECT l_orderkey, v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, v) r FROM (SELECT l_orderkey, l_quantity v, count(*) n FROM lineitem GROUP BY 1, 2)) WHERE r = 1)"
+DERIVED = {
+    "skewness": ("round(skewness({x}), 4)", _BY_MEAN.format(v=f"round({_MOMENT.format(k=3)} / pow({_MOMENT.format(k=2)}, 1.5), 4)")),
+    "kurtosis": ("round(kurtosis({x}), 4)", _BY_MEAN.format(v=f"round({_MOMENT.format(k=4)} / pow({_MOMENT.format(k=2)}, 2) - 3, 4)")),
+    "mode": ("mode({x}, true)", _MOST), "approx_percentile": ("approx_percentile({x}, 0.5)", _RANKED), "percentile_approx": ("percentile_approx({x}, 0.5)", _RANKED),
 }
 for _name, (_spark, _sql) in STATS.items():
-    _refs = {"x": "[lineitem].l_quantity", "y": "[lineitem].l_extendedprice", "n": "[lineitem].l_linenumber", "f": "[lineitem].l_returnflag"}
+    _refs = {"x": "[lineitem].l_quantity", "y": "[lineitem].l_extendedprice", "n": "[lineitem].l_linenumber", "f": "[lineitem].l_returnflag", "k": "[lineitem].l_orderkey"}
     _list = _name in ("collect_list", "collect_set", "array_agg")
     rule(f"agg_{_name}", "orders", [("v", _spark.format(**_refs))], "o_orderkey; concat_ws(',', cast(v as array<string>)) v" if _list else "o_orderkey; v",
          (f"SELECT o_orderkey, array_to_string({_sql}, ',') v FROM {O_L} GROUP BY 1" if _list else f"SELECT o_orderkey, {_sql} v FROM {O_L} GROUP BY 1") if _sql else None)
 
-# over groups without spread Spark's corr divides by zero, so this one groups by supplier
-rule("agg_corr", "supplier", [("v", "corr([lineitem].l_quantity, [lineitem].l_extendedprice)")], "s_suppkey; round(v, 6) v", "SELECT s_suppkey, round(corr(l_quantity, l_extendedprice), 6) v FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1", relations=[SUPPLIER])
+for _name, (_spark, _sql) in DERIVED.items():
+    rule(f"agg_{_name}", "orders", [("v", _spark.format(x="[lineitem].l_quantity"))], "o_orderkey; v", f"SELECT o_orderkey, v FROM orders LEFT JOIN {_sql} ON l_orderkey = o_orderkey")
+rule("agg_schema_of_json_agg", "customer", [("v", "schema_of_json_agg([events].props)")], "c_custkey; v", "SELECT c_custkey, CASE WHEN count(event_id) > 0 THEN 'STRUCT<k: BIGINT>' END v FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1", relations=[("[events]-user-[customer]", "[This].user_id = [Related].c_custkey", "M-1")])
 
 # windows
 EV = "event_id; "
@@ -253,9 +302,35 @@ out("output_multi_channel_agg", "nation_id long, n long", [channel("customer", "
 out("output_status_filter", "id long", [channel("orders", "o_orderkey id", include_warn_flag=False)], f"SELECT o_orderkey id FROM orders WHERE {STATUS_SQL} = 'P'", rules={"orders": VALID}, by_status=True)
 out("output_declared_casts", "id string, n int, whole long", [channel("customer", "c_custkey id; c_nationkey n; c_custkey whole")], "SELECT c_custkey::VARCHAR id, c_nationkey::INTEGER n, c_custkey whole FROM customer")
 out("output_lazy_rules", "id long, c_name string", [channel("lineitem", "l_orderkey id; c_name c_name", filter="[This].l_quantity > 49")], "SELECT l_orderkey id, c_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 49", rules={"lineitem": [("c_name", "[customer].c_name"), ("unused", "[part].p_name")]}, relations=[("[lineitem]-part-[part]", "[This].l_partkey = [Related].p_partkey", "M-1")], trust_cardinality=True)
+out("output_unpivot", "id long, what string, amount double", [channel("lineitem", "l_orderkey id; unpivot_name what; unpivot_value amount", operation_type="Unpivot", unpivot_columns=["l_quantity", "l_extendedprice", "net"], filter="[This].l_returnflag = 'R'")], "SELECT l_orderkey id, what, amount FROM (SELECT l_orderkey, l_quantity, l_extendedprice, l_extendedprice * 2 net FROM lineitem WHERE l_returnflag = 'R') UNPIVOT (amount FOR what IN (l_quantity, l_extendedprice, net))", rules={"lineitem": [("net", "[This].l_extendedprice * 2")]})
 out("topk_by_window", "user_id long, event_id long", [channel("events", "user_id user_id; event_id event_id", filter="[This].rn <= 3")], "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) rn FROM events) WHERE rn <= 3", rules={"events": [("rn", "row_number() OVER (PARTITION BY [This].user_id ORDER BY [This].value DESC, [This].event_id)")]})
 
 
+def registered_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that calls a function of the project, computed on Arrow batches."""
+
+    def tag(names: pd.Series) -> pd.Series:
+        return names.str.lower().str[::-1]
+
+    p = _project(spark, sf_dir, {"nation": [("mirrored", "weft_tag([This].n_name)")]})
+    p.register_function("weft_tag", F.pandas_udf(tag, "string"))
+    return Engine(spark, p).source("nation").select("n_nationkey", "mirrored")
+
+
+QUERIES["registered_function"] = registered_function
+ORACLES["registered_function"] = "SELECT n_nationkey, reverse(lower(n_name)) mirrored FROM nation"
+
+
+def materialised_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source with rules, read by two paths of another, written once and read."""
+    p = _project(spark, sf_dir, {"customer": [("seg", "lower([This].c_mktsegment)"), ("orders_n", "count([orders].o_orderkey)")], "nation": [("builders", "count_if([customer].seg = 'building')"), ("orders_n", "sum([customer].orders_n)")]})
+    return Engine(spark, p, materialise=True).source("nation").select("n_nationkey", "builders", "orders_n")
+
+
+QUERIES["materialised_hub"] = materialised_hub
+ORACLES["materialised_hub"] = "SELECT n_nationkey, count(*) FILTER (lower(c_mktsegment) = 'building') builders, sum(n)::BIGINT orders_n FROM nation LEFT JOIN (SELECT c_nationkey, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) n FROM customer) ON c_nationkey = n_nationkey GROUP BY 1"
+
+
 def stream_static_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of orders enriched by customers, run to its end into files."""
     import uuid
