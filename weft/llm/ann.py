@@ -137,8 +137,11 @@ def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def search(rows: DataFrame, asks: Column, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the neighbours of those of ``rows`` (vec_id, v), as of :func:`valid`, that ``asks`` marks."""
+def search(rows: DataFrame, asks: Column, k: int = 5, every_list: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the neighbours of those of ``rows`` (vec_id, v), as of :func:`valid`, that ``asks`` marks.
+
+    With ``every_list`` all lists are probed, so that only the hypothesis test stands between the answer and the exact one.
+    """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -171,7 +174,7 @@ def search(rows: DataFrame, asks: Column, k: int = 5) -> DataFrame:
                 continue
             order = index.value.nearest(unit(b["v"]), len(n))
             held = np.cumsum(n[order], axis=1)
-            many = np.maximum(index.value.probes, (held < enough).sum(axis=1) + 1)
+            many = np.maximum(len(n) if every_list else index.value.probes, (held < enough).sum(axis=1) + 1)
             lists = [[int(i) for i in o[:m] if n[i]] for o, m in zip(order, many, strict=True)]
             yield b.assign(lists=lists)
 
