@@ -90,29 +90,33 @@ def test_odd_rows(odd):
     assert pii.replace(odd, key=b"k").columns == odd.columns
 
 
-def test_rows_equal_brute_force(spark):
-    """The query against a plain loop: surrogates drawn in rounds until all differ, then put in place."""
-    from weft.llm import pii
+def replaced(rows, key):
+    """By a plain loop: surrogates drawn in rounds until all differ, then put in place."""
     from weft.llm.surrogates import render, surrogate
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    more = [(-1, "Mr. John Smith and Mary Smith; Peter met John. a@b.example, A@B.EXAMPLE"), (-2, "Smith Mary Jones 10.0.0.1 +1 (376) 555-2305")]
-    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
-    rows = docs.collect()
     real = {x[2:] for r in rows for x in find(r.text)}
     settled, pending, attempt = {}, set(real), 0
     while pending:
-        drawn = {e: surrogate(b"k", *e, attempt) for e in pending}
+        drawn = {e: surrogate(key, *e, attempt) for e in pending}
         used = {(kind, new) for (kind, _), (new, _) in settled.items()}
         for e in sorted(pending):
             if (e[0], drawn[e]) not in real and (e[0], drawn[e]) not in used:
                 used.add((e[0], drawn[e]))
                 settled[e] = drawn[e], attempt
         pending, attempt = pending - settled.keys(), attempt + 1
-    want = {}
+    out = {}
     for r in rows:
         text = r.text
         for a, z, kind, value in reversed(find(r.text)):
             text = text[:a] + render(text[a:z], kind, settled[kind, value][0]) + text[z:]
-        want[r.doc_id] = text
-    assert {r.doc_id: r.text for r in pii.op9(docs, b"k").collect()} == want
+        out[r.doc_id] = text
+    return out
+
+
+def test_rows_equal_brute_force(spark):
+    from weft.llm import pii
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(-1, "Mr. John Smith and Mary Smith; Peter met John. a@b.example, A@B.EXAMPLE"), (-2, "Smith Mary Jones 10.0.0.1 +1 (376) 555-2305")]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    assert {r.doc_id: r.text for r in pii.op9(docs, b"k").collect()} == replaced(docs.collect(), b"k")

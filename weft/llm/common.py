@@ -42,10 +42,18 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def until_the_end(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the session's JVM ends: intermediate tables outlive the plans that read them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def pin_table(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder; narrower on disk than :func:`pin`."""
     where = f"{shared_folder(df.sparkSession)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    until_the_end(df.sparkSession, where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 

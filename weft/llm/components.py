@@ -16,8 +16,11 @@ SALTS = 16
 
 
 def salted(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` joined with ``one``, a row for each ``key``, which is repeated SALTS times to meet ``rows`` dealt by ``by``."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    """``rows`` joined with ``one``, a row for each ``key``, which is repeated SALTS times to meet ``rows`` dealt by ``by``.
+
+    Merged, never broadcast: the repeated rows compress well, so that they look smaller than they are in memory.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).hint("merge")
     return dealt.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "_salt"]).drop("_salt")
 
 
