@@ -273,3 +273,23 @@ def test_functions_have_names(spark):
     for name in ("Sum", "sum", "a-b"):
         with pytest.raises(ProjectError, match="function name"):
             p.register_function(name, len)
+
+
+def test_keys_put_together_from_numbers_are_matched_by_the_numbers(spark):
+    def joined(left_rule, right_rule, kinds=("int", "int")):
+        sources = [
+            {"source_name": "l", "frame": frame(spark, [(1, 12), (11, 2), (None, 3)], "a int, b int"), "raw_attributes": [f"a {kinds[0]}", f"b {kinds[1]}"], "rules": [{"name": "key", "expression": left_rule}, {"name": "v", "expression": "[r].v"}]},
+            {"source_name": "r", "frame": frame(spark, [(1, 12, "x"), (11, 2, "y"), (None, 3, "z")], "c int, d int, v string"), "raw_attributes": ["c int", "d int", "v string"], "rules": [{"name": "key2", "expression": right_rule}]},
+        ]
+        p = Project.of(sources, [{"name": "[l]-k-[r]", "expression": "[This].key = [Related].key2", "cardinality": "M-1"}])
+        df = Engine(spark, p).source("l")
+        return sorted(str(r.v) for r in df.collect()), "concat" in plan(df.select("a", "v"))
+
+    both = "concat([This].{}, '|', [This].{})"
+    assert joined(both.format("a", "b"), both.format("c", "d")) == (["None", "x", "y"], False)
+    # a text that numbers can run into, other texts or a string keep the texts' comparison
+    glued = "concat([This].{}, '', [This].{})"
+    assert joined(glued.format("a", "b"), glued.format("c", "d"))[1]
+    assert joined(both.format("a", "b"), "concat([This].c, '/', [This].d)") == (["None", "None", "None"], True)
+    assert joined("concat([This].a, '0', [This].b)", "concat([This].c, '0', [This].d)")[1]
+    assert joined(both.format("a", "b"), both.format("c", "d"), ("string", "int"))[1]

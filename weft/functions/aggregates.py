@@ -19,7 +19,7 @@ REJECTED = {"count_min_sketch": "yields a binary value, which no rule can have"}
 _ARGUMENTS = re.compile(r"\s*(\w+)\s*\(\s*(distinct\s+)?(.*?)\)\s*(filter\s*\(.*\))?\s*", re.I | re.S)
 
 
-def _split(text: str) -> list[str]:
+def split_arguments(text: str) -> list[str]:
     """Arguments at commas outside brackets and quotes."""
     out, depth, quote, at = [], 0, "", 0
     for i, c in enumerate(text):
@@ -46,7 +46,7 @@ def compiled(name: str, sql: str) -> str:
     if name not in ("corr", "schema_of_json_agg"):
         return sql
     m = _ARGUMENTS.fullmatch(sql)
-    arguments = _split(m[3]) if m else []
+    arguments = split_arguments(m[3]) if m else []
     if name == "corr" and m and len(arguments) == 2 and not m[2]:
         x, y, only = *arguments, m[4] or ""
         spread = f"stddev_pop(if(({y}) IS NULL, NULL, {x})) {only} * stddev_pop(if(({x}) IS NULL, NULL, {y})) {only}"

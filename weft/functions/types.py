@@ -26,6 +26,7 @@ _OF = {
     T.StringType: "string", T.DecimalType: "decimal", T.TimestampType: "timestamp", T.BooleanType: "boolean", T.ByteType: "int", T.ShortType: "int",
     T.IntegerType: "int", T.LongType: "long", T.FloatType: "float", T.DoubleType: "double", T.StructType: "struct", T.ArrayType: "array", T.DateType: "date",
 }
+#: Names of rules, as the project format has them.  A fixed value.
 IDENTIFIER = re.compile(r"^[a-z_]+[a-z0-9_]*$")
 
 

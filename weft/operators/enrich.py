@@ -7,6 +7,7 @@ or in several roles.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from weft.errors import ProjectError
 from weft.functions import types
+from weft.functions.aggregates import split_arguments
 from weft.functions.lexer import Agg, Ref
 from weft.model import Project, Relation, Source
 from weft.operators import arrays
@@ -26,6 +28,25 @@ from weft.plans.rules import levels, needs, sides
 
 #: Prefix of columns that are not attributes; no attribute may begin so.
 OWN = "__"
+_CONCAT = re.compile(r"\s*concat\s*\((.*)\)\s*", re.I | re.S)
+_OWN_COLUMN = re.compile(r"\s*\[this\]\.(\w+)\s*", re.I)
+_SEPARATOR = re.compile(r"\s*'([^'\\0-9-]+)'\s*")
+
+
+def parts_of(source: Source, attribute: str) -> list[tuple[str, bool]]:
+    """Of a rule concat(number, 'text', number, ...) the columns and texts in turn, (name or text, is a column); else nothing.
+
+    Texts must hold something that no number begins or goes on with, so that the whole can be taken apart in one way.
+    """
+    rule = source.rules.get(attribute)
+    m = _CONCAT.fullmatch(rule.text) if rule is not None and not rule.unique and rule.cast is None and isinstance(rule.text, str) else None
+    out: list[tuple[str, bool]] = []
+    for k, part in enumerate(split_arguments(m[1]) if m else []):
+        c = (_OWN_COLUMN if k % 2 == 0 else _SEPARATOR).fullmatch(part)
+        if c is None or k % 2 == 0 and getattr(source.raw.get(c[1].lower()), "type", None) not in ("int", "long"):
+            return []
+        out.append((c[1].lower(), True) if k % 2 == 0 else (c[1], False))
+    return out if len(out) % 2 else []
 
 
 class Enrichment:
@@ -104,7 +125,8 @@ class Enrichment:
         start_keys, end_keys = sides(r, hop.forward)
         start = self._start(path[:-1], start_keys)
         right = self._end(r, hop.forward, hop.end)
-        names = [a for a in sorted({*self._wanted(path), *end_keys}) if a in right.columns]
+        pairs = self._parts(r, hop) if len(path) == 1 else []
+        names = [a for a in sorted({*self._wanted(path), *end_keys, *(b for _, b in pairs)}) if a in right.columns]
         columns = {a: f"{OWN}j{number}_{a}" for a in names}
         right = right.select(*[F.col(quoted(a)).alias(c) for a, c in columns.items()])
         left = self.df.columns
@@ -115,7 +137,8 @@ class Enrichment:
                 keys = [F.col(quoted(columns[a])) for a in end_keys]
                 many = (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1) & ~F.greatest(*[k.isNull() for k in keys], F.lit(False))
                 right = right.withColumn(columns[end_keys[0]], F.when(many, several).otherwise(keys[0]))
-            self.df = self.df.join(right, condition(r, hop.forward, start, columns), "left").select(*left, *kept)
+            on = [F.col(quoted(a)) == F.col(quoted(columns[b])) for a, b in pairs] or condition(r, hop.forward, start, columns)
+            self.df = self.df.join(right, on, "left").select(*left, *kept)
         else:
             # the distinct keys are matched first, so that no side need be broadcast for the outer join
             used = sorted({start[a] for a in start_keys})
@@ -133,6 +156,17 @@ class Enrichment:
         self.there[path] = columns
         return columns
 
+    def _parts(self, r: Relation, hop) -> list[tuple[str, str]]:
+        """Where both keys are texts put together from whole numbers in the same way, the pairs of those numbers: equal
+        texts are equal numbers, which are cheaper to compare and by which the other side may be grouped already."""
+        if r.equal is None or len(r.equal) != 1 or hop.end == self.source.name:
+            return []
+        mine, theirs = r.equal[0] if hop.forward else r.equal[0][::-1]
+        a, b = parts_of(self.source, mine), parts_of(self.project.sources[hop.end], theirs)
+        if not a or not b or [x for x, is_column in a if not is_column] != [x for x, is_column in b if not is_column]:
+            return []
+        return [(x, y) for (x, is_column), (y, _) in zip(a, b, strict=True) if is_column]
+
     def _aggregates(self, path: Path, calls: dict[str, Agg]) -> None:
         hop = path[-1]
         r = relation(self.project, hop.relation)

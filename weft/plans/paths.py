@@ -72,6 +72,7 @@ def resolve(project: Project, source: str, target: str, one: bool, explicit: lis
         if names:
             raise ProjectError("path", f"path {' '.join(names)} doesn't lead from {source} to {target} with cardinality {'1' if one else 'M'}", where)
         if search(project, source, target, not one):
+            # fixed values: these two messages are known to users
             hint = "must use aggregation" if one else "Remove aggregation"
             raise ProjectError("cardinality", f"{hint}: {target} has cardinality {'M' if one else '1'} from {source}", where)
         raise ProjectError("path", f"no relation path from {source} to {target}", where)
