@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bits of the filters that spare rows a shuffle; a full filter costs time only.
+FILTER_BITS = 25
 #: A word is a run of anything but the six ASCII blanks.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -65,6 +67,22 @@ def small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def by_filter(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` split by a bitmap of the values of ``key`` in ``wanted``: those that may be in it, and those that surely aren't.
+
+    The bitmap has 2**FILTER_BITS bits, 4 MB, whatever the number of values, and is what is broadcast.
+    """
+    def bit(c) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+
+    maps = wanted.select(bit(key).alias("b")).groupBy(F.expr("b div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("b % 32768")).alias("bits"))
+    marked = rows.withColumn("_b", bit(key)).join(F.broadcast(maps), F.expr("_b div 32768") == F.col("bucket"), "left")
+    byte = "cast(conv(hex(substring(bits, cast(_b % 32768 div 8 + 1 as int), 1)), 16, 10) as int)"
+    hit = F.expr(f"coalesce(shiftright({byte}, cast(_b % 8 as int)) & 1 = 1, false)")
+    marked = marked.withColumn("_hit", hit).drop("_b", "bucket", "bits")
+    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, or with underscores before it one that no column has."""
     low = {c.lower() for c in columns}
@@ -80,8 +98,14 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def boxed(docs: DataFrame) -> DataFrame:
-    """(row, id, rk): the whole row, its doc_id and its hash, so that columns of any name come through a join."""
-    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_hash(docs).alias("rk"))
+    """(row, ik, rk): the whole row and the hashes of its doc_id and of all of it, so that columns of any name come through
+    a join, and the same two hashes without NULLs serve to join and to fold equal rows."""
+    return docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id").alias("ik"), row_hash(docs).alias("rk"))
+
+
+def keys_of(rows: DataFrame, doc_id, rk, *more: Column) -> DataFrame:
+    """(ik, rk) and more of rows that hold the doc_id and the hash of other rows."""
+    return rows.select(F.xxhash64(doc_id).alias("ik"), F.col(rk).alias("rk"), *more)
 
 
 def computed(df: DataFrame, used: list[str], new: list[T.StructField], kinds: list[pa.DataType], fn: Callable, drop: tuple[str, ...] = ()) -> DataFrame:

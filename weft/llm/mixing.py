@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import boxed, pin, row_hash, small, uniform, word_count
+from weft.llm.common import boxed, keys_of, pin, row_hash, small, uniform, word_count
 
 FAN_IN = 64
 #: Documents longer than this part of their source are settled first.
@@ -174,10 +174,10 @@ def _items(docs: DataFrame, text: str, source: str) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; columns as before."""
-    chosen = plan(_items(docs, text, source), **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_r")).agg(F.sum("copies").alias("copies"))
-    chosen = pin(chosen)
+    chosen = keys_of(plan(_items(docs, text, source), **how).where("copies > 0"), "doc_id", "rk", "copies")
+    chosen = pin(chosen.groupBy("ik", "rk").agg(F.sum("copies").alias("copies")))
     most = chosen.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0]
-    out = boxed(docs).dropDuplicates(["id", "rk"]).join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "inner")
+    out = boxed(docs).dropDuplicates(["ik", "rk"]).join(chosen, ["ik", "rk"])
     return _times(out.select("row", "copies"), "copies", "nth", most > CHUNK).select("row.*")
 
 

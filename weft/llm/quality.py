@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import BLANKS, boxed, let, pin, row_hash, small, words_of
+from weft.llm.common import BLANKS, boxed, keys_of, let, pin, row_hash, small, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -142,8 +142,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with its columns."""
     stratum, text = how.get("stratum", "lang"), how.pop("text", "text")
     keyed = docs.select("doc_id", row_hash(docs).alias("rk"), F.col(text).alias("text"), F.col(stratum).alias("stratum_of"))
-    verdict = judge(keyed, labels, ["doc_id", "rk"], **{**how, "stratum": "stratum_of"}).where("kept").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_r"))
-    return boxed(docs).join(verdict, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "left_semi").select("row.*")
+    verdict = judge(keyed, labels, ["doc_id", "rk"], **{**how, "stratum": "stratum_of"}).where("kept")
+    return boxed(docs).join(keys_of(verdict, "doc_id", "rk"), ["ik", "rk"], "left_semi").select("row.*")
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import boxed, computed, pin, row_hash, small
+from weft.llm.common import boxed, computed, keys_of, pin, row_hash, small
 from weft.llm.components import components, salted
 
 RADIUS = 4
@@ -167,7 +167,7 @@ def links(distinct: DataFrame) -> DataFrame:
     hot = many.select("count", F.explode(F.concat(F.array("value"), _larger(F.col("value"), segments))).alias("key"))
     hot = pin(hot.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") > BLOCK).select("key", F.expr(f"ceil(n / {BLOCK})").alias("blocks")))
     if not hot.isEmpty():
-        entries = entries.join(small(hot, 70_000), "key", "left")
+        entries = entries.join(small(hot), "key", "left")
         block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(block, j) * F.lit(1 << 31) + F.greatest(block, j) + 1)
         entries = entries.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
@@ -221,9 +221,8 @@ def keep_one(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame
 
 def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`groups` names as first."""
-    top = grouped.select(F.col("first.doc_id").alias("_id"), F.col("first.rk").alias("_r")).distinct()
-    kept = boxed(docs).join(top, F.col("id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_r")), "left_semi")
-    return kept.dropDuplicates(["id", "rk"]).select("row.*")
+    top = keys_of(grouped.select("first.*"), "doc_id", "rk").distinct()
+    return boxed(docs).join(top, ["ik", "rk"], "left_semi").dropDuplicates(["ik", "rk"]).select("row.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:

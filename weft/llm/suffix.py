@@ -36,11 +36,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import computed, fresh, pin_table
+from weft.llm.common import by_filter, computed, fresh, pin_table
 from weft.llm.suffixsort import Hashes, PrimeHashes, common, mixed, sort_buckets
 from weft.llm.vocab import worker_store
 
@@ -51,8 +51,6 @@ CROWD, PARTS = 64, 4
 BUFFER, FOLD, FOLD_SPANS = 1 << 19, 200_000, 20_000
 #: An anchor with more than this share of a task's units, and LEAST_HOT of them, is dealt by its spans.
 HOT_SHARE, LEAST_HOT = 1 / 2_000, 8
-#: Bits of the filters that spare documents a shuffle; a full filter costs time only.
-FILTER_BITS = 25
 _U = np.uint64
 
 
@@ -250,22 +248,6 @@ def _by_crowd(judged: DataFrame) -> DataFrame:
     return calm.unionByName(hot.drop("hot").withColumn("crowd", F.lit(True)))
 
 
-def _in_filter(rid: str, wanted: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` split by a bitmap of the wanted rids: those that may be wanted, and those that surely are not.
-
-    The bitmap has 2**FILTER_BITS bits, 4 MB, whatever the number of rids.
-    """
-    def bit(c) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-
-    maps = wanted.select(bit("rid").alias("b")).groupBy(F.expr("b div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("b % 32768")).alias("bits"))
-    marked = rows.withColumn("_b", bit(rid)).join(F.broadcast(maps), F.expr("_b div 32768") == F.col("bucket"), "left")
-    byte = "cast(conv(hex(substring(bits, cast(_b % 32768 div 8 + 1 as int), 1)), 16, 10) as int)"
-    hit = F.expr(f"coalesce(shiftright({byte}, cast(_b % 8 as int)) & 1 = 1, false)")
-    marked = marked.withColumn("_hit", hit).drop("_b", "bucket", "bits")
-    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
-
-
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [("k", pa.int64()), ("kind", pa.int8()), ("crowd", pa.bool_()), ("rid", pa.int64()), ("rid2", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("span", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())]
     schema = pa.schema(kinds)
@@ -362,7 +344,7 @@ def repeated(texts: DataFrame) -> DataFrame:
     judged = _judged(texts.mapInArrow(_find_units, f"{DEALT}, {IDENT}"))
     asked = _by_crowd(judged).select("rid", "rid2", F.struct("k", "kind", "crowd", "s", "n", "o").alias("x"))
     asked = pin_table(asked.groupBy("rid", "rid2").agg(F.collect_set("x").alias("asked")))  # a document's own units
-    may, _ = _in_filter("rid", asked, texts)
+    may, _ = by_filter(texts, "rid", asked)
     spans = pin_table(may.join(asked, ["rid", "rid2"]).mapInArrow(_spans, SPANNED))
     found = judged.where("kind = 0").select(*starts).unionByName(_sorted(spans.where("not crowd")))
     crowded = spans.where("crowd")
@@ -415,7 +397,7 @@ def _starts(found: DataFrame) -> DataFrame:
 
 def op10(docs: DataFrame) -> DataFrame:
     found = pin_table(_starts(repeated(_texts(docs, "text"))))
-    may, free = _in_filter("rid", found, _texts(docs, "text", "doc_id"))
+    may, free = by_filter(_texts(docs, "text", "doc_id"), "rid", found)
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = may.join(found, ["rid", "rid2"], "left").select("doc_id", "bytes", "starts").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
