@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker remembers; it then starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def worker_store() -> dict:
@@ -43,7 +43,14 @@ class Vocabulary:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.special[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.parts: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Parts are numbered; their ids lie one after another in ``flat``, from ``first`` on, ``length`` of them each."""
+        self.place = {"": 0}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
 
     @classmethod
     def of(cls, source: str) -> Vocabulary:
@@ -55,34 +62,54 @@ class Vocabulary:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _add(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, end = len(self.place), self.used + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + len(parts) > len(self.first):
+            self.first, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.length))
+        self.flat[self.used : end] = ids
+        self.first[n : n + len(parts)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(parts)] = lengths
+        self.place.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.used = end
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts one after another, and where each part's end."""
+        of = self.length[numbers]
+        ends = np.cumsum(of)
+        return self.flat[np.repeat(self.first[numbers] - (ends - of), of) + np.arange(ends[-1] if len(ends) else 0)], ends
+
     def _learn(self, parts: list[str]) -> None:
         """Ids of parts that are not known; none contains a special token."""
-        plain, odd, ended = [], [], []
+        plain, odd, ended = {}, [], []
+        place = self.place
         for p in parts:
             word = p.rstrip(".,!?;:")
             if not word.isalpha():
                 odd.append(p)
                 continue
-            if word not in self.parts:
-                plain.append(word)
+            if word not in place:
+                plain[word] = None
             if len(word) < len(p):
                 ended.append((p, word, p[len(word) :]))
-        tails = {t for *_, t in ended if t not in self.parts}
-        plain = list(dict.fromkeys(plain))
-        ids = self._encode(" ".join(plain)) if plain else np.zeros(0, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1  # a word is one run of pieces, and its last piece is marked
-        if len(cuts) == len(plain):
-            self.parts.update(zip(plain, np.split(ids, cuts[:-1]), strict=True) if plain else ())
-        else:
-            odd += plain
-        odd += tails
+        plain = list(plain)
+        if plain:
+            ids = self._encode(" ".join(plain))
+            cuts = np.flatnonzero(self.ends[ids]) + 1  # a word is one run of pieces, and its last piece is marked
+            if len(cuts) == len(plain):
+                self._add(plain, ids, np.diff(cuts, prepend=0))
+            else:
+                odd += plain
+        odd += {t for *_, t in ended if t not in place}
         if odd:
             ids = self._encode(self.mark.join(odd))
             at = np.flatnonzero(ids == self.mark_id)
-            for p, x in zip(odd, np.split(ids, at), strict=True):
-                self.parts[p] = x[1:] if len(x) and x[0] == self.mark_id else x
-        for p, word, tail in ended:
-            self.parts[p] = np.concatenate((self.parts[word], self.parts[tail]))
+            self._add(odd, ids[ids != self.mark_id], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
+        if ended:
+            both = np.array([place[x] for _, word, tail in ended for x in (word, tail)], np.int64)
+            ids, _ = self._gather(both)
+            self._add([p for p, *_ in ended], ids, self.length[both].reshape(-1, 2).sum(axis=1))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one entry more than texts)."""
@@ -92,20 +119,14 @@ class Vocabulary:
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         distinct = coded.dictionary.to_pylist()
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        known = self.parts
-        known[""] = np.zeros(0, np.uint32)
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        place = self.place
         special = {p for p in distinct if "<|" in p and any(s in p for s in self.special)}
-        if new := [p for p in distinct if p not in known and p not in special]:
+        if new := [p for p in distinct if p not in place and p not in special]:
             self._learn(new)
-        each = [known[""] if p in special else known[p] for p in distinct]
-        lengths = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate(each) if each else known[""]
-        first = np.cumsum(lengths) - lengths
-        of = lengths[codes]
-        ends = np.cumsum(of)
-        out = flat[np.repeat(first[codes] - (ends - of), of) + np.arange(ends[-1] if len(ends) else 0)]
+        numbers = np.array([place[p] for p in distinct] if not special else [0 if p in special else place[p] for p in distinct], np.int64)
+        out, ends = self._gather(numbers[codes])
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()]
         if special:  # the tokenizer finds these before it lowers case: such texts as a whole
             odd = {i for i, t in enumerate(low.to_pylist()) if any(s in t for s in self.special)}
