@@ -460,3 +460,27 @@ def test_language_marginalises_segmentations():
     used = lattices.expected(words, np.ones(5), np.array([0, 1, 0, 1, 0]), p)
     e, last = lattices.edges(words)
     assert used.sum() <= e.shape[1] and (used >= 0).all()
+
+
+def test_vocabulary_equals_the_tokenizer(monkeypatch):
+    """Random texts of marks, letters and special tokens, also where the memory of parts starts afresh."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from weft.llm import vocab
+
+    random.seed(1)
+    texts = ["", None, "a.b,c!", "... ... a...", "x" * 5000, "<|endoftext|> hi", "don't stop!!!", "日本語 テキスト。", "É́é ½ ²", "1,234.56 3rd", "İstanbul ẞ", "\x00\x01 tab\tnew\nline\r\x0b\x0c"]
+    texts += ["".join(random.choice("ab.,!<|> é日1\n'") for _ in range(random.randrange(200))) for _ in range(1500)]
+    tokenizer = Tokenizer.from_file(vocab.default_path())
+    with open(vocab.default_path(), encoding="utf-8") as f:
+        source = f.read()
+    for remembered in (600_000, 500):
+        monkeypatch.setattr(vocab, "REMEMBERED", remembered)
+        v = vocab.Vocabulary(source)
+        for lo in range(0, len(texts), 200):
+            ids, bounds = v.ids(pa.array(texts[lo : lo + 200], pa.string()))
+            for i, t in enumerate(texts[lo : lo + 200]):
+                assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids

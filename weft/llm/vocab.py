@@ -63,6 +63,7 @@ class Vocabulary:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _add(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New parts, all different, with their ids."""
         n, end = len(self.place), self.used + len(ids)
         while end > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -101,7 +102,7 @@ class Vocabulary:
                 self._add(plain, ids, np.diff(cuts, prepend=0))
             else:
                 odd += plain
-        odd += {t for *_, t in ended if t not in place}
+        odd = list(dict.fromkeys([*odd, *(t for *_, t in ended if t not in place)]))
         if odd:
             ids = self._encode(self.mark.join(odd))
             at = np.flatnonzero(ids == self.mark_id)
