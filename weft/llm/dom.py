@@ -76,18 +76,21 @@ class Node:
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        names = found.get("class", "").split()
+        found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        names = found.get("class", "").split() if found else ()
         kind = _DIGITS.sub("#", unescape(names[0])) if names else ""
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0}/{tag}.{kind}") - 2**63
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
-        tokens = [[w.lower() for w in _SPLIT.split(v) if w] for v in (*names, *found.get("id", "").split(), *found.get("role", "").split())]
-        # the header of an article holds its title; that of the page doesn't
-        tokens = [t for t in tokens if t and t[0] not in MODIFIERS and not (self.inside and t == ["header"])]
-        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        self.chrome = tag in SKIPPED or hidden or tag == "header" and not self.inside
+        self.chrome = tag in SKIPPED or tag == "header" and not self.inside
         #: Less than 0 for elements that are never chrome by words.
-        self.marked = 0 if self.chrome else _marked(tokens) * (-1 if tag in ("html", "body", "article", "main") else 1)
+        self.marked = 0
+        if found and not self.chrome:
+            self.chrome = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            tokens = [[w.lower() for w in _SPLIT.split(v) if w] for v in (*names, *found.get("id", "").split(), *found.get("role", "").split())]
+            # the header of an article holds its title; that of the page doesn't
+            tokens = [t for t in tokens if t and t[0] not in MODIFIERS and not (self.inside and t == ["header"])]
+            if not self.chrome:
+                self.marked = _marked(tokens) * (-1 if tag in ("html", "body", "article", "main") else 1)
         #: Where on the stack the nearest element is that an opening tag of a group would end; shared with the parent
         #: unless this tag changes it.
         self.ends: dict[str, int] = parent.ends if parent else {}
@@ -154,14 +157,19 @@ def parse(html: str, dropped: Collection[int] = (), kept: Collection[int] = ())
     return root
 
 
-def _lengths(order: list[Node], through: Callable[[Node], bool]) -> tuple[dict[int, int], dict[int, int]]:
+def _lengths(order: list[Node], through: Callable[[Node], bool]) -> tuple[dict[Node, int], dict[Node, int]]:
     """Characters of text, and of those in links, of each node with all that is within and that ``through`` lets pass."""
-    text: dict[int, int] = {}
-    links: dict[int, int] = {}
+    text: dict[Node, int] = {}
+    links: dict[Node, int] = {}
     for x in reversed(order):
-        kids = [c for c in x.children if isinstance(c, Node) and through(c)]
-        text[id(x)] = sum(len(c.strip()) for c in x.children if isinstance(c, str)) + sum(text[id(k)] for k in kids)
-        links[id(x)] = text[id(x)] if x.tag == "a" else sum(links[id(k)] for k in kids)
+        n = linked = 0
+        for c in x.children:
+            if type(c) is str:
+                n += len(c.strip())
+            elif through(c):
+                n += text[c]
+                linked += links[c]
+        text[x], links[x] = n, n if x.tag == "a" else linked
     return text, links
 
 
@@ -172,7 +180,6 @@ def _relieve(root: Node, dropped: Collection[int], kept: Collection[int]) -> Non
     order = nodes(root)
     if not any(x.marked for x in order):
         return
-    text, links = _lengths(order, lambda c: not c.chrome or c.marked > 0)
     article = next((x for x in order if x.tag == "article"), None)
     holds: set[int] = set()
     for x in reversed(order):
@@ -180,11 +187,14 @@ def _relieve(root: Node, dropped: Collection[int], kept: Collection[int]) -> Non
             x.chrome = x.chrome and x.marked <= 0
         if x.parent is not None and (id(x) in holds or x.tag == "main" or x is article and not x.marked):
             holds.add(id(x.parent))
-    prose = text[id(root)] - links[id(root)]
+    if not any(0 < x.marked < STRONG_WHOLE for x in order):
+        return
+    text, links = _lengths(order, lambda c: not c.chrome or c.marked > 0)
+    prose = text[root] - links[root]
     for x in order:
-        if x.chrome and 0 < x.marked < STRONG_WHOLE and not x.inside and 2 * (text[id(x)] - links[id(x)]) > prose:
+        if x.chrome and 0 < x.marked < STRONG_WHOLE and not x.inside and 2 * (text[x] - links[x]) > prose:
             x.chrome = False
-        elif x.inside and x.marked == WEAK_PART and x.path not in dropped and x.path not in kept and links[id(x)] > LINKED * text[id(x)]:
+        elif x.inside and x.marked == WEAK_PART and x.path not in dropped and x.path not in kept and links[x] > LINKED * text[x]:
             x.chrome = True
 
 
@@ -222,7 +232,7 @@ def nodes(root: Node) -> list[Node]:
     while todo:
         x = todo.pop()
         out.append(x)
-        todo += [c for c in reversed(x.children) if isinstance(c, Node)]
+        todo += [c for c in reversed(x.children) if type(c) is not str]
     return out
 
 
@@ -237,17 +247,22 @@ def scores(root: Node) -> list[tuple[Node, float]]:
     containers within, less the more of it is links.  In page order."""
     order = nodes(root)
     total, links = _lengths(order, lambda c: not c.chrome)
-    value: dict[int, float] = {}
+    value: dict[Node, float] = {}
     for x in reversed(order):
-        own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
-        value[id(x)] = own + sum(value[id(k)] * (INHERITED if k.tag in CONTAINERS else 1) for k in x.children if isinstance(k, Node) and not k.chrome)
+        n = 0.0
+        for c in x.children:
+            if type(c) is str:
+                n += len(c.strip())
+            elif not c.chrome:
+                n += value[c] * INHERITED if c.tag in CONTAINERS else value[c]
+        value[x] = n
     found, gone = [], set()
     for x in order:
         if x.chrome or x.parent is not None and id(x.parent) in gone:
             gone.add(id(x))
-        elif x.tag in CONTAINERS and total[id(x)]:
-            density = 1 - links[id(x)] / total[id(x)]
-            found.append((x, value[id(x)] * density**2 * CONTAINERS[x.tag]))
+        elif x.tag in CONTAINERS and total[x]:
+            density = 1 - links[x] / total[x]
+            found.append((x, value[x] * density**2 * CONTAINERS[x.tag]))
     return found
 
 
@@ -261,7 +276,7 @@ def suspects(root: Node) -> dict[int, tuple[int, int, int]]:
     for x in order:
         if x.inside and 0 < x.marked <= WEAK_WHOLE:
             h, n, m = out.get(x.path, (0, 0, 0))
-            out[x.path] = (xxhash.xxh3_64_intdigest(f"{h} " + " ".join(blocks(x))) - 2**63, n + text[id(x)], m + links[id(x)])
+            out[x.path] = (xxhash.xxh3_64_intdigest(f"{h} " + " ".join(blocks(x))) - 2**63, n + text[x], m + links[x])
     return out
 
 
