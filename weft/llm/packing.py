@@ -32,7 +32,7 @@ WINDOW, END = 2048, 1
 #: Ids that open windows hold together.
 HELD = 16 << 20
 #: Bytes of text that are tokenized at once.
-SLICE = 4 << 20
+SLICE = 3 << 20
 
 
 class Packer:

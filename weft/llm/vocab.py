@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker remembers; it then starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Parts that are given to the tokenizer together.
+LEARNED = 10_000
 
 
 def worker_store() -> dict:
@@ -124,8 +126,9 @@ class Vocabulary:
             self._forget()
         place = self.place
         special = {p for p in distinct if "<|" in p and any(s in p for s in self.special)}
-        if new := [p for p in distinct if p not in place and p not in special]:
-            self._learn(new)
+        new = [p for p in distinct if p not in place and p not in special]
+        for i in range(0, len(new), LEARNED):  # the tokenizer holds some hundred bytes for each id at once
+            self._learn([p for p in new[i : i + LEARNED] if p not in place])
         numbers = np.array([place[p] for p in distinct] if not special else [0 if p in special else place[p] for p in distinct], np.int64)
         out, ends = self._gather(numbers[codes])
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()]
