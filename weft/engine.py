@@ -71,7 +71,7 @@ class Engine:
 
     def _base(self, s: Source) -> DataFrame:
         if s.frame is not None:
-            return s.frame
+            return s.frame() if callable(s.frame) else s.frame
         if s.query:
             return self.spark.sql(s.query)
         return self.spark.table(s.table)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from collections.abc import Mapping as Dict
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -106,7 +107,8 @@ class Source:
     rules: dict[str, Rule] = field(default_factory=dict)
     stream: bool = False
     unmanaged: bool = False
-    frame: DataFrame | None = None
+    #: The table itself, or a function that gives it when it is first needed.
+    frame: DataFrame | Callable[[], DataFrame] | None = None
 
     @classmethod
     def of(cls, spec: Dict) -> Source:

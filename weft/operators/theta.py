@@ -87,16 +87,29 @@ def matches(ours: DataFrame, others: DataFrame, r: Relation, mine: dict[str, str
     quantiles = F.array(*[F.lit(i / BOUNDS) for i in range(1, BOUNDS)])
     made = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.percentile_approx(x, quantiles, F.lit(10_000)), F.array().cast("array<double>")) for x in (*low, *high)])))
     bounds = ranges.agg(made.alias("bounds")).scalar()
-    bucket = lambda v: F.size(F.filter(F.col("__bounds"), lambda b: b <= v))
-    point = point.withColumn("__bounds", bounds).withColumn("__bucket", bucket(value)).drop("__bounds").where(value.isNotNull())
-    ranges = ranges.withColumn("__bounds", bounds).where(F.expr("true") if not (low or high) else _all_known([*low, *high]))
-    first = bucket(F.greatest(*low) if len(low) > 1 else low[0]) if low else F.lit(0)
-    last = bucket(F.least(*high) if len(high) > 1 else high[0]) if high else F.size("__bounds")
-    ranges = ranges.withColumn("__from", first).withColumn("__to", last).where("__from <= __to").withColumn("__touched", F.explode(F.sequence("__from", "__to"))).drop("__bounds", "__from", "__to")
+    point = _bucketed(point.where(value.isNotNull()).withColumn("__bounds", bounds), value, "__bucket").drop("__bounds")
+    ranges = ranges.where(_all_known([*low, *high])).withColumn("__bounds", bounds)
+    if low:
+        ranges = _bucketed(ranges, F.greatest(*low) if len(low) > 1 else low[0], "__from")
+    if high:
+        ranges = _bucketed(ranges, F.least(*high) if len(high) > 1 else high[0], "__to")
+    first, last = F.col("__from") if low else F.lit(0), F.col("__to") if high else F.size("__bounds")
+    ranges = ranges.where(first <= last).withColumn("__touched", F.explode(F.sequence(first, last))).drop("__bounds", "__from", "__to")
     left, right = (ranges, point) if point_is_theirs else (point, ranges)
     return left.join(right, (F.col("__bucket") == F.col("__touched")) & condition).drop("__bucket", "__touched")
 
 
+def _bucketed(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with the number of ``__bounds`` up to a value, by binary search in steps that are compiled with the rest."""
+    df = df.withColumn("__value", value).withColumn(name, F.lit(0))
+    step = 1 << (2 * BOUNDS - 1).bit_length() - 1
+    while step:
+        fits = F.get("__bounds", F.col(name) + (step - 1)) <= F.col("__value")  # NULL beyond the last
+        df = df.withColumn(name, F.col(name) + F.when(fits, step).otherwise(0))
+        step //= 2
+    return df.drop("__value")
+
+
 def _all_known(values: list[Column]) -> Column:
     out = values[0].isNotNull()
     for v in values[1:]:

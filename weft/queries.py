@@ -47,7 +47,7 @@ def _project(spark: SparkSession, sf_dir: str, rules=None, relations=(), outputs
     for t, (declared, frame) in tables.items():
         raw = declared if isinstance(declared, list) else _columns(declared)
         own = [r if isinstance(r, dict) else {"name": r[0], "expression": r[1], **(r[2] if len(r) > 2 else {})} for r in (rules or {}).get(t, [])]
-        sources.append({"source_name": t, "frame": frame(), "raw_attributes": raw, "rules": own})
+        sources.append({"source_name": t, "frame": frame, "raw_attributes": raw, "rules": own})
     rels = [{"name": n, "expression": e, "cardinality": c} for n, e, c in [*(RELATIONS if base else []), *relations]]
     return Project.of(sources, rels, outputs)
 
