@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from weft.model import Relation
 
-#: Bounds between buckets, at most twice as many.
-BOUNDS = 256
+#: Quantiles of each end; a power of two.
+BOUNDS = 1_024
 _SIDE = "\0([RT])(\\w+)\0"
 _BETWEEN = re.compile(rf"({_SIDE})\s+between\s+({_SIDE})\s+and\s+({_SIDE})", re.I)
 _COMPARED = re.compile(rf"\s*\(?\s*{_SIDE}\s*(<=|<|>=|>)\s*{_SIDE}\s*\)?\s*")
@@ -85,7 +85,9 @@ def matches(ours: DataFrame, others: DataFrame, r: Relation, mine: dict[str, str
     if value is None or any(x is None for x in (*low, *high)):
         return ours.join(others, condition)
     quantiles = F.array(*[F.lit(i / BOUNDS) for i in range(1, BOUNDS)])
-    made = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.percentile_approx(x, quantiles, F.lit(10_000)), F.array().cast("array<double>")) for x in (*low, *high)])))
+    inner = [F.coalesce(F.percentile_approx(x, quantiles, F.lit(10_000)), F.array().cast("array<double>")) for x in (*low, *high)]
+    outer = F.array(*[F.min(x) for x in low], *[F.max(x) for x in high])  # what lies beyond all ranges meets none
+    made = F.array_sort(F.array_distinct(F.array_compact(F.concat(*inner, outer))))
     bounds = ranges.agg(made.alias("bounds")).scalar()
     point = _bucketed(point.where(value.isNotNull()).withColumn("__bounds", bounds), value, "__bucket").drop("__bounds")
     ranges = ranges.where(_all_known([*low, *high])).withColumn("__bounds", bounds)
@@ -100,14 +102,11 @@ def matches(ours: DataFrame, others: DataFrame, r: Relation, mine: dict[str, str
 
 
 def _bucketed(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """``df`` with the number of ``__bounds`` up to a value, by binary search in steps that are compiled with the rest."""
-    df = df.withColumn("__value", value).withColumn(name, F.lit(0))
-    step = 1 << (2 * BOUNDS - 1).bit_length() - 1
-    while step:
-        fits = F.get("__bounds", F.col(name) + (step - 1)) <= F.col("__value")  # NULL beyond the last
-        df = df.withColumn(name, F.col(name) + F.when(fits, step).otherwise(0))
-        step //= 2
-    return df.drop("__value")
+    """``df`` with the number of ``__bounds`` up to a value, by binary search."""
+    steps = F.array(*[F.lit(2 * BOUNDS >> k) for k in range((2 * BOUNDS).bit_length())])  # more than there are, ends included
+    fits = lambda at, step: F.coalesce(F.get("__bounds", at + step - 1) <= F.col("__value"), F.lit(False))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(fits(at, step), step).otherwise(0))
+    return df.withColumn("__value", value).withColumn(name, found).drop("__value")
 
 
 def _all_known(values: list[Column]) -> Column:
