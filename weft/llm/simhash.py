@@ -112,6 +112,11 @@ class _Forest:
         self.up[max(a, b)] = min(a, b)
         return a != b
 
+    def stars(self) -> pa.RecordBatch:
+        """(a, b): each fingerprint that has a link, beside the smallest it is joined with."""
+        ends = [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).astype(np.uint64)) <= RADIUS  # of signed numbers it counts the absolute value's bits
