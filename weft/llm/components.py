@@ -1,7 +1,7 @@
 """Connected components of a distributed link table by alternating stars.
 
-A hub with very many neighbours is no hot key: joins on a node are dealt over ``SALTS`` tasks by the neighbour.  No links
-give no rows.
+A hub with very many neighbours is no hot key: joins on a node with more than ``HUB`` links are dealt over ``SALTS`` tasks by
+the neighbour.  Hubs are few, at most a row for each ``HUB`` links, and are what is broadcast.  No links give no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from weft.llm.common import pin
 
 #: Tasks that the rows of one key are dealt over.
 SALTS = 16
+#: Links of a node that one task joins.
+HUB = 1_024
 
 
 def salted(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
@@ -24,18 +26,26 @@ def salted(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
     return dealt.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "_salt"]).drop("_salt")
 
 
+def _told(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` (a, b) with ``m`` from ``least`` (a, m, n), where ``n`` is how many links a node has; only hubs are salted."""
+    hubs = least.where((F.col("n") > HUB) & F.col("m").isNotNull()).select("a", F.lit(SALTS).alias("_of"))  # with m, so that the exchange is reused
+    dealt = links.join(F.broadcast(hubs), "a", "left").withColumn("_salt", F.pmod(F.xxhash64("b"), F.coalesce("_of", F.lit(1)))).drop("_of")
+    last = F.when(F.col("n") > HUB, SALTS - 1).otherwise(0).cast("long")
+    return dealt.hint("merge").join(least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))), ["a", "_salt"]).drop("_salt", "n")
+
+
 def _large(e: DataFrame) -> DataFrame:
     """Each node hands its smallest neighbour (or itself) to its larger neighbours."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return salted(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _told(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = salted(e, least, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    least = e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _told(e, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.where("n > 0").select("a", F.col("m").alias("b")))  # with n, so that the exchange is reused
 
 
 def components(links: DataFrame) -> DataFrame:
