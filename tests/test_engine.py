@@ -163,6 +163,45 @@ def test_ranges_are_joined_by_buckets(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("expression", ["[This].k < [Related].k", "[This].k >= [Related].k"])
+def test_ranges_with_one_end_make_no_pairs(spark, expression):
+    left, right = [(i, None if i % 9 == 0 else i * 7 % 2_000) for i in range(600)], [(i * 11 % 3_000, i % 50) for i in range(2_900)] + [(None, 1), (70, None)]
+    calls = ["count([r].v)", "sum([r].v)", "min([r].v)", "max([r].v)", "avg([r].v)", "count_if([r].v > 40)", "every([r].v < 49)", "sum([r].v) FILTER (WHERE [r].v > 30)"]
+    df = Engine(spark, project(spark, left, right, [(f"c{i}", c) for i, c in enumerate(calls)], expression)).source("l")
+    assert "Generate" not in plan(df) and "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
+
+    def expected(k):
+        vs = [v for kk, v in right if None not in (k, kk) and (k < kk if "<" in expression else k >= kk)]
+        known = [v for v in vs if v is not None]
+        if not vs:
+            return (0, None, None, None, None, 0, None, None)
+        return (len(known), sum(known), min(known), max(known), sum(known) / len(known), sum(v > 40 for v in known), all(v < 49 for v in known), sum(v for v in known if v > 30) or None)
+
+    got = {r["id"]: tuple(r[f"c{i}"] for i in range(len(calls))) for r in df.collect()}
+    assert got == {i: pytest.approx(expected(k)) for i, k in left}
+
+
+def test_ranges_with_one_end_by_values_that_are_no_plain_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    left, right = [(i, v) for i, v in enumerate([None, 0.0, -0.0, nan, inf, -inf, 1.5])], [(v,) for v in [None, 0.0, -0.0, nan, nan, inf, -inf, 1.5, 1.5]]
+    for sign in ("<", "<=", ">", ">="):
+        sources = [{"source_name": "l", "frame": frame(spark, left, "id int, k double"), "raw_attributes": ["id int", "k double"], "rules": [{"name": "n", "expression": "count([r].k)"}, {"name": "different", "expression": "count(DISTINCT [r].k)"}]}, {"source_name": "r", "frame": frame(spark, right, "k double"), "raw_attributes": ["k double"]}]
+        df = Engine(spark, Project.of(sources, [{"name": "[r]-k-[l]", "expression": f"[Related].k {sign} [This].k", "cardinality": "M-M"}])).source("l")
+        frame(spark, left, "id int, k double").createOrReplaceTempView("one_end_l")
+        frame(spark, right, "k double").createOrReplaceTempView("one_end_r")
+        want = spark.sql(f"SELECT id, count(r.k) n, count(DISTINCT r.k) different FROM one_end_l l LEFT JOIN one_end_r r ON l.k {sign} r.k GROUP BY id")
+        assert sorted(map(tuple, df.select("id", "n", "different").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_repeated_ranges_are_not_broadcast(spark, tmp_path):
+    frame(spark, [(1, 1)], "id int, k int").write.parquet(f"{tmp_path}/l")  # small files, by whose size the plan goes
+    frame(spark, [(1, 5)], "k int, v int").write.parquet(f"{tmp_path}/r")
+    sources = [{"source_name": n, "frame": spark.read.parquet(f"{tmp_path}/{n}"), "raw_attributes": c, "rules": x} for n, c, x in (("l", ["id int", "k int"], [{"name": "x", "expression": "median([r].v)"}]), ("r", ["k int", "v int"], []))]
+    for expression in ("[This].k < [Related].k", "[This].k >= [Related].k"):
+        df = Engine(spark, Project.of(sources, [{"name": "[l]-k-[r]", "expression": expression, "cardinality": "M-M"}])).source("l")
+        assert any("SortMergeJoin" in line and "__bucket" in line for line in plan(df).splitlines())
+
+
 def test_cardinality_check_ignores_null_keys_and_sees_ranges(spark):
     many = [(None, 1), (None, 2), (7, 3)]
     p = project(spark, [(1, None), (2, 7)], many, [("v", "[r].v")], cardinality="M-1")

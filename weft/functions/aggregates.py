@@ -12,6 +12,9 @@ NAMES = frozenset(
 )
 #: What a call yields over no rows, where that isn't NULL.
 EMPTY = {"count": "0L", "count_if": "0L", "approx_count_distinct": "0L", "collect_list": "array()", "collect_set": "array()", "array_agg": "array()"}
+#: Calls whose values over parts of the rows make up the value over all of them, and by which function.
+MERGED = {"count": "sum", "count_if": "sum", "sum": "sum", "min": "min", "max": "max", "bit_or": "bit_or", "bit_xor": "bit_xor"}
+MERGED |= dict.fromkeys(("bool_and", "every"), "bool_and") | dict.fromkeys(("any", "bool_or", "some"), "bool_or")
 #: Known to the language, but not offered by Spark or outside the types that a rule can have.
 REJECTED = {"count_min_sketch": "yields a binary value, which no rule can have"}
 
@@ -54,3 +57,13 @@ def compiled(name: str, sql: str) -> str:
     if name == "schema_of_json_agg" and m and len(arguments) == 1:
         return f"weft_merge_schemas(collect_set(weft_schema_of_json({arguments[0]})) {m[4] or ''})"
     return sql
+
+
+def in_parts(name: str, sql: str) -> list[tuple[str, str]]:
+    """Calls over parts of the rows, each with the function that merges its values; two are divided.  Empty if there are none."""
+    m = _ARGUMENTS.fullmatch(sql)
+    if m is None or m[2]:
+        return []
+    if name in ("avg", "mean"):
+        return [(f"{call} {m[4] or ''}", "sum") for call in (f"sum(cast({m[3]} AS double))", f"count({m[3]})")]
+    return [(sql, MERGED[name])] if name in MERGED else []
